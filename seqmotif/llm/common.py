@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Words a worker remembers before it starts afresh; bounds its memory.
 CACHE_WORDS = 250_000
@@ -51,6 +52,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def with_score(schema: StructType) -> StructType:
+    """The schema with a last column ``score``."""
+    return StructType([*schema.fields, StructField("score", DoubleType())])
+
+
 def components(edges: DataFrame, spark: SparkSession, store) -> DataFrame:
     """(id, component): each endpoint's smallest reachable id, for undirected edges (a, b) of longs.
 

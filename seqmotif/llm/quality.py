@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmotif.llm.common import CACHE_WORDS, held_out, labelled_texts, texts
+from seqmotif.llm.common import CACHE_WORDS, held_out, labelled_texts, texts, with_score
 from seqmotif.session import ship
 
 #: Hashed rows; the last one stands for a repeated word.
@@ -173,9 +173,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """All rows and columns of ``documents`` with ``score``, the probability of label 1 for the whole text."""
     spark = documents.sparkSession
     ship(spark)
-    shared, kept = spark.sparkContext.broadcast(model), documents.columns
-    base = documents.drop("score") if "score" in kept else documents
-    schema = base.schema.add("score", "double")
+    shared, base = spark.sparkContext.broadcast(model), documents.drop("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
@@ -184,7 +182,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             scores = np.concatenate([np.zeros(0), *(known.probabilities(run, bias) for run in portions(texts(batch)))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, with_score(base.schema))
 
 
 def classify(documents: DataFrame, labels: DataFrame, max_train_rows: int = 2000, threshold: float = 0.3) -> DataFrame:

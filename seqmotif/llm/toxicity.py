@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmotif.llm.common import Memo, held_out, labelled_texts, texts
+from seqmotif.llm.common import Memo, held_out, labelled_texts, texts, with_score
 from seqmotif.session import ship
 
 BUCKETS = 1 << 18
@@ -182,8 +182,13 @@ class Scorer(Memo):
         return sum(map(self.__getitem__, tokens(text)), bias)
 
 
-def learn(sample: list[tuple[int, np.ndarray]], penalty: float = 5e-4, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """(weights, bias) of logistic regression with an L1 penalty by accelerated proximal gradient steps."""
+def learn(sample: list[tuple[int, np.ndarray]], penalty: float = 8e-4) -> tuple[np.ndarray, float]:
+    """(weights, bias) of logistic regression by accelerated proximal gradient steps.
+
+    Weights are not negative and carry an L1 penalty: a toxic passage counts the
+    same in a short text and in a very long one. A first pass with a tenfold
+    penalty finds the features that count; the second fits those alone.
+    """
     n, positive = len(sample), sum(y for y, _ in sample)
     weights = np.zeros(BUCKETS)
     if not 0 < positive < n:
@@ -193,26 +198,39 @@ def learn(sample: list[tuple[int, np.ndarray]], penalty: float = 5e-4, rounds: i
     of = np.repeat(np.arange(n), [len(r) for _, r in sample])
     flat = np.concatenate([r for _, r in sample])
     used, col, times = np.unique(flat, return_inverse=True, return_counts=True)
-    often = times >= 3
+    often = times >= 5
     of, col, used = of[often[col]], (np.cumsum(often) - 1)[col[often[col]]], used[often]
-    w = z = np.zeros(len(used))
-    b = zb = 0.0
     cost = np.where(y == 1, n / (2 * positive), n / (2 * (n - positive))) / n
-    step, t = 4.0 / max(1.0, float(np.percentile(np.bincount(of, minlength=n), 90)) / 40), 1.0
-    for _ in range(rounds):
-        logit = np.clip(np.bincount(of, z[col], n) + zb, -30, 30)
-        off = (1 / (1 + np.exp(-logit)) - y) * cost
-        raw = z - step * np.bincount(col, off[of], len(used))
-        fresh = np.sign(raw) * np.maximum(np.abs(raw) - step * penalty, 0)
-        fb = zb - off.sum() / 2
-        u = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z, zb = fresh + (t - 1) / u * (fresh - w), fb + (t - 1) / u * (fb - b)
-        w, b, t = fresh, fb, u
+    cell, times = np.unique(of * max(1, len(used)) + col, return_counts=True)
+    of, col = cell // max(1, len(used)), cell % max(1, len(used))
+    scale = np.sqrt(np.bincount(col, cost[of] * times**2, len(used)))
+    val = times / scale[col]
+    w, b = np.zeros(len(used)), 0.0
+    for rounds, shrink in ((60, 10 * penalty), (1500, penalty)):
+        top, curve = np.ones(len(used)), 1.0
+        for _ in range(20):  # the largest curvature, by power iteration
+            top = np.bincount(col, val * (cost * np.bincount(of, val * top[col], n))[of], len(used))
+            curve = max(float(np.linalg.norm(top)), 1e-9)
+            top /= curve
+        step = 1 / (0.25 * 1.1 * curve + 0.25)
+        z, zb, t = w, b, 1.0
+        for _ in range(rounds):
+            logit = np.clip(np.bincount(of, val * z[col], n) + zb, -30, 30)
+            off = (1 / (1 + np.exp(-logit)) - y) * cost
+            fresh = np.maximum(z - step * (np.bincount(col, val * off[of], len(used)) + shrink), 0)
+            fb = zb - step * off.sum()
+            u = (1 + math.sqrt(1 + 4 * t * t)) / 2
+            z, zb = fresh + (t - 1) / u * (fresh - w), fb + (t - 1) / u * (fb - b)
+            w, b, t = fresh, fb, u
+        keep = w > 0
+        mine = keep[col]
+        of, col, val, used, w, scale = of[mine], (np.cumsum(keep) - 1)[col[mine]], val[mine], used[keep], w[keep], scale[keep]
+    w = w / scale
     weights[used] = w
     return weights.astype(np.float32), float(b)
 
 
-def fit(documents: DataFrame, labels: DataFrame, costs: np.ndarray, max_train_rows: int = 2000) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, costs: np.ndarray, max_train_rows: int = 3000) -> tuple[np.ndarray, float]:
     """Learn from at most ``max_train_rows`` labelled rows, none of them held out."""
     spark = documents.sparkSession
     ship(spark)
@@ -244,10 +262,10 @@ def score(documents: DataFrame, costs: np.ndarray, model: tuple[np.ndarray, floa
             scores = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return base.mapInArrow(run, base.schema.add("score", "double"))
+    return base.mapInArrow(run, with_score(base.schema))
 
 
-def classify(documents: DataFrame, labels: DataFrame, max_train_rows: int = 2000, threshold: float = 0.5) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, max_train_rows: int = 3000, threshold: float = 0.5) -> DataFrame:
     """``documents`` with held_out, score and predicted (score >= threshold)."""
     costs = language_model(documents)
     scored = score(documents, costs, fit(documents, labels, costs, max_train_rows))
