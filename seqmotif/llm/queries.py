@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqmotif.llm import quality, toxicity
+from seqmotif.llm import packing, quality, sentencepiece, toxicity
 from seqmotif.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.query(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_toxicity, op4_best_fit_packing, op7_sentencepiece, op8_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -225,6 +225,15 @@ def learn(sample: list[tuple[int, np.ndarray]], penalty: float = 8e-4) -> tuple[
         keep = w > 0
         mine = keep[col]
         of, col, val, used, w, scale = of[mine], (np.cumsum(keep) - 1)[col[mine]], val[mine], used[keep], w[keep], scale[keep]
+    # The cut with the best balanced accuracy, in the middle of its gap, becomes logit 0.
+    logit = np.bincount(of, val * w[col], n) + b
+    order = np.argsort(logit, kind="stable")
+    at, gain = logit[order], np.cumsum(np.where(y[order] == 1, -1 / positive, 1 / (n - positive)))
+    gap = np.append(at[1:], at[-1]) > at
+    cut = np.flatnonzero(gap & (gain >= gain[gap].max() - 1e-12)) if gap.any() else []
+    if len(cut):
+        k = max(cut, key=lambda k: at[k + 1] - at[k])
+        b -= (at[k] + at[k + 1]) / 2
     w = w / scale
     weights[used] = w
     return weights.astype(np.float32), float(b)
