@@ -242,6 +242,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 300) -> DataF
     sizes = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(layout(plan(sizes, capacity, rounds)))
     shards = F.greatest(F.lit(1), F.ceil(F.count("*") / SHARD)).cast("long")
+    names = parts.columns
     known = parts.groupBy("length").agg(shards.alias("_shards"))
     dealt = parts.join(F.broadcast(known), "length").withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_shards")))
     before = dealt.groupBy("length", "_shard").agg(F.count("*").alias("_n"))
@@ -260,8 +261,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 300) -> DataF
                 at = r[np.searchsorted(r[:, 0], rank[mine], side="right") - 1]
                 k = rank[mine] - at[:, 0]
                 sequence[mine], offset[mine] = at[:, 2] + k // at[:, 1], at[:, 3] + k % at[:, 1] * one
-            keep = [batch.column(c) for c in parts.columns]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], [*parts.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
     return ranked.select(*parts.columns, "_rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
