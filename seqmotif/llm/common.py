@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,20 +93,51 @@ def block_pairs(members: DataFrame, group: str, member: str, block: int) -> Data
     return out.select(*members.columns, "left", F.least("left", "_other").alias("ba"), F.greatest("left", "_other").alias("bb"))
 
 
-def forest(rows: np.ndarray, cols: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (rows[i], cols[i]) among n things: at most n - 1 pairs with the same components."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for a, b in zip(rows.tolist(), cols.tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            kept.append((a, b))
-    return kept
+def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric matrix of links: at most n - 1 pairs (a, b) with the same components."""
+    unseen = np.ones(len(links), bool)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for first in np.flatnonzero(links.sum(1) > links.diagonal()).tolist():
+        stack = [first] if unseen[first] else []
+        unseen[first] = False
+        while stack:
+            a = stack.pop()
+            near = np.flatnonzero(links[a] & unseen)
+            if len(near):
+                unseen[near] = False
+                stack += near.tolist()
+                pairs.append((np.full(len(near), a), near))
+    if not pairs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of sorted rows that hold whole groups of equal ``keys`` (longs), with the groups' first rows and the end."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in keys]
+        change = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        starts = np.flatnonzero(change) + 1
+        head = tuple(v[0] for v in values)
+        if last is not None and head != last:
+            yield _grouped(held, keys)
+            held = []
+        if len(starts):
+            yield _grouped([*held, batch.slice(0, starts[-1])], keys)
+            held = [batch.slice(starts[-1])]
+        else:
+            held.append(batch)
+        last = tuple(v[-1] for v in values)
+    if held:
+        yield _grouped(held, keys)
+
+
+def _grouped(parts: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(parts).combine_chunks()
+    values = [table.column(k).to_numpy() for k in keys]
+    change = np.any([v[1:] != v[:-1] for v in values], axis=0) if table.num_rows > 1 else np.zeros(0, bool)
+    return table, np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])

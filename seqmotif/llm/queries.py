@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqmotif.llm import html_text, packing, quality, sentencepiece, toxicity, warc
+from seqmotif.llm import html_text, neardup, packing, quality, sentencepiece, topk, toxicity, warc
 from seqmotif.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.query(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(spark, table(spark, sf_dir, "documents"))
 
@@ -36,9 +40,14 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.query(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.query(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op4_best_fit_packing, op5_warc, op7_sentencepiece, op8_quality_classifier, op9_html_extraction)}
+    found = [op1_toxicity, op2_exact_topk, op4_best_fit_packing, op5_warc, op7_sentencepiece, op8_quality_classifier, op9_html_extraction, op10_embedding_near_dedup]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE}
+    return {"op2_exact_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op10_embedding_near_dedup": neardup.ORACLE}
