@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqmotif.llm import html_text, neardup, packing, quality, sentencepiece, topk, toxicity, warc
+from seqmotif.llm import html_text, jaccard, neardup, packing, quality, sentencepiece, topk, toxicity, warc
 from seqmotif.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(spark, table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.query(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.query(spark, table(spark, sf_dir, "documents"))
 
@@ -45,9 +49,9 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_exact_topk, op4_best_fit_packing, op5_warc, op7_sentencepiece, op8_quality_classifier, op9_html_extraction, op10_embedding_near_dedup]
+    found = [op1_toxicity, op2_exact_topk, op4_best_fit_packing, op5_warc, op6_ngram_jaccard_join, op7_sentencepiece, op8_quality_classifier, op9_html_extraction, op10_embedding_near_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op10_embedding_near_dedup": neardup.ORACLE}
+    return {"op2_exact_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op6_ngram_jaccard_join": jaccard.ORACLE, "op10_embedding_near_dedup": neardup.ORACLE}
