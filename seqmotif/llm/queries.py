@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqmotif.llm import html_text, jaccard, neardup, packing, quality, sentencepiece, topk, toxicity, warc
+from seqmotif.llm import chat, html_text, jaccard, neardup, packing, quality, sentencepiece, topk, toxicity, warc
 from seqmotif.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(spark, table(spark, sf_dir, "conversations"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(spark, table(spark, sf_dir, "documents"))
 
@@ -49,9 +53,9 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_exact_topk, op4_best_fit_packing, op5_warc, op6_ngram_jaccard_join, op7_sentencepiece, op8_quality_classifier, op9_html_extraction, op10_embedding_near_dedup]
+    found = [op1_toxicity, op2_exact_topk, op3_chat_formatting, op4_best_fit_packing, op5_warc, op6_ngram_jaccard_join, op7_sentencepiece, op8_quality_classifier, op9_html_extraction, op10_embedding_near_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op6_ngram_jaccard_join": jaccard.ORACLE, "op10_embedding_near_dedup": neardup.ORACLE}
+    return {"op2_exact_topk": topk.ORACLE, "op3_chat_formatting": chat.ORACLE, "op5_warc": warc.ORACLE, "op6_ngram_jaccard_join": jaccard.ORACLE, "op10_embedding_near_dedup": neardup.ORACLE}
