@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -42,30 +43,63 @@ SHARD = 50_000
 UNSAFE = re.compile(r"\s (?:\s|\Z)|\x00")
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: itself if printable, else the next free letter."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 class Tokens:
     """Little-endian 32-bit ids of texts; ids of units (a space and what follows it) are remembered.
 
     The tokenizer splits text before every space that is not between white
-    space, so that units are encoded alike wherever they stand.
+    space, so that units are encoded alike wherever they stand. The vocabulary
+    file of the `tokenizers` library is read with it and used for decoding;
+    its ids are its merge ranks, by which `tiktoken` gives the same ids at a
+    fifth of the time for short units.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in word): i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if not word.startswith("<|")}
+        self.encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(b) for b in ranks]
         self.known: dict[str, bytes] = {}
 
     def raw(self, some: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        encode = self.encoding.encode_ordinary
+        return [array("I", encode(t)).tobytes() for t in some]
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of new units. Those of a space and a word are encoded in one go and told apart by their bytes."""
+        joint = [u for u in new if u[:1] == " " and len(u) > 1 and not u[1].isspace()]
+        alone = set(new).difference(joint)
+        if joint:
+            ids = np.array(self.encoding.encode_ordinary("".join(joint)), "<u4")
+            at = np.cumsum(self.sizes[ids])
+            ends = np.cumsum([len(u.encode()) for u in joint])
+            last = np.searchsorted(at, ends)
+            if (at[last] == ends).all():
+                whole, stops = ids.tobytes(), (4 * (last + 1)).tolist()
+                self.known.update((u, whole[a:b]) for u, a, b in zip(joint, [0, *stops], stops))
+            else:
+                alone.update(joint)
+        self.known.update((u, self.raw([u])[0]) for u in alone)
 
     def encode(self, some: list[str]) -> list[bytes]:
         cut = [None if UNSAFE.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in some]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*filter(None, cut)).difference(self.known))
-        self.known.update(zip(new, self.raw(new)))
+        self.learn(list(set().union(*filter(None, cut)).difference(self.known)))
         get = self.known.__getitem__
         return [self.raw([t])[0] if units is None else b"".join(map(get, units)) for t, units in zip(some, cut)]
 
