@@ -1,0 +1,82 @@
+"""Patterns with a wide gap between a captured word and its repeat, as a seed equi-join.
+
+``left units, a gap, right units`` where every other unit has one length: the
+captured letters before the gap are the join key on the left, their repeat or
+reverse complement behind the gap is the key on the right. The gap is a range
+condition on the joined rows, other units are filters. Of the joined rows the
+first hit of each start is the one with the shortest gap.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from seqmotif.functions import letter_class, normal, revcomp
+from seqmotif.pattern.parser import Pattern, lengths
+from seqmotif.pattern.units import Unit
+
+
+@dataclass
+class Seed:
+    """A pattern cut at its gap: fixed units with their offsets, and the pairs of captured and repeated units."""
+
+    left: list[tuple[Unit, int, int]]
+    right: list[tuple[Unit, int, int]]
+    gap: Unit
+    pairs: list[tuple[Unit, Unit]]
+
+
+def seed(pattern: Pattern, widest: int = 64) -> Seed | None:
+    """The pattern's cut for a seed join, or None if it has no such form."""
+    gaps = [u for u in pattern.units if u.kind == "range" and u.low != max(u.low, u.high)]
+    if not pattern.dna or len(gaps) != 1 or gaps[0].name is not None or len(pattern.units) != len(pattern.flat):
+        return None
+    at = pattern.units.index(gaps[0])
+    named: dict[int, tuple[int, int]] = {}
+    sides: list[list[tuple[Unit, int, int]]] = [[], []]
+    for side, units in enumerate((pattern.units[:at], pattern.units[at + 1 :])):
+        offset = 0
+        for u in units:
+            low, high = lengths([u], named)
+            if low != high or not u.exact or u.kind not in ("word", "range", "repeat", "complement") or u.rule is not None:
+                return None
+            sides[side].append((u, offset, low))
+            offset += low
+    left = {u.name: u for u, _, n in sides[0] if u.name is not None and u.kind == "range" and n}
+    pairs = [(left[u.ref], u) for u, _, _ in sides[1] if u.kind in ("repeat", "complement") and u.ref in left]
+    inner = [u for u, _, _ in [*sides[0], *sides[1]] if u.kind in ("repeat", "complement")]
+    if not pairs or len(inner) != len(pairs) or sum(n for _, _, n in sides[0]) > widest * 4:
+        return None
+    return Seed(sides[0], sides[1], gaps[0], pairs)
+
+
+def candidates(seqs: DataFrame, pattern: Pattern, s: Seed) -> DataFrame:
+    """(seq_ord, seq_id, start, end): the first hit of every start, for sequences of plain bases."""
+    rows = seqs.select("seq_ord", "seq_id", normal("seq").alias("_s"))
+
+    def windows(side: list[tuple[Unit, int, int]], name: str) -> tuple[DataFrame, int]:
+        size = sum(n for _, _, n in side)
+        places = F.when(F.length("_s") >= size, F.sequence(F.lit(1), F.length("_s") - size + 1))
+        out = rows.select("seq_ord", "seq_id", "_s", F.explode(places).alias(name))
+        for u, offset, _ in side:
+            if u.kind == "word":
+                word = "".join(letter_class(c) for c in u.letters)
+                out = out.where(F.substr("_s", F.col(name) + offset, F.lit(len(u.letters))).rlike(f"^{word}$"))
+        return out, size
+
+    def piece(side: list[tuple[Unit, int, int]], unit: Unit, name: str) -> Column:
+        offset, n = next((o, n) for u, o, n in side if u is unit)
+        return F.substr("_s", F.col(name) + offset, F.lit(n))
+
+    left, left_size = windows(s.left, "start")
+    right, right_size = windows(s.right, "at")
+    key = F.concat(*[piece(s.left, a, "start") for a, _ in s.pairs])
+    other = F.concat(*[revcomp(piece(s.right, b, "at")) if b.kind == "complement" else piece(s.right, b, "at") for _, b in s.pairs])
+    left = left.select("seq_ord", "seq_id", "start", key.alias("key"))
+    right = right.select(F.col("seq_ord").alias("_o"), "at", other.alias("_k"))
+    gap = F.col("at") - F.col("start") - left_size
+    met = left.join(right, (F.col("seq_ord") == F.col("_o")) & (F.col("key") == F.col("_k")) & gap.between(s.gap.low, s.gap.high))
+    return met.groupBy("seq_ord", "seq_id", "start").agg((F.min("at") + right_size - 1).alias("end"))
