@@ -45,9 +45,7 @@ def mismatches(seq: Column | str, word: str) -> Column:
 
 def kmers(seq: Column | str, k: int) -> Column:
     """Array of all substrings of length k, in order; empty for shorter sequences."""
-    text = F.col(seq) if isinstance(seq, str) else seq
-    places = F.sequence(F.lit(1), F.length(text) - k + 1)
-    return F.when(F.length(text) >= k, F.transform(places, lambda i: F.substr(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def weight_score(seq: Column | str, columns: list[list[int]], dna: bool = True) -> Column:

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqmotif.functions import revcomp
+from seqmotif.operators.chain import chain
 from seqmotif.operators.kernel import Matcher
 from seqmotif.pattern.parser import Pattern, lengths, parse
+from seqmotif.plans import windows
 from seqmotif.plans.regex import NotRegular, hits, to_regex
+from seqmotif.plans.seedjoin import candidates, seed
 from seqmotif.session import ship
 
 #: A hit: 1-based closed place on the forward strand, its order within (record, pattern, strand), and the pieces of its units.
@@ -36,14 +39,24 @@ def splittable(pattern: Pattern) -> bool:
 
 
 def strategy(pattern: Pattern, plain: bool = False, strict_n: bool = False, align: bool = False, overlaps: bool = False) -> str:
-    """regex or kernel: how a pattern is run."""
+    """How a pattern is run: regex, windows, seeds or kernel; only the last leaves the JVM.
+
+    ``windows`` and ``seeds`` need sequences of plain bases. ``seeds`` is a
+    shuffle, worth it for gaps too wide to enumerate.
+    """
     if overlaps or align and any(u.kind == "complement" for u in pattern.flat):
         return "kernel"
-    try:
-        to_regex(pattern, plain, strict_n)
-    except NotRegular:
-        return "kernel"
-    return "regex"
+    if not any(u.kind == "either" for u in pattern.units):
+        try:
+            to_regex(pattern, plain, strict_n)
+            return "regex"
+        except NotRegular:
+            pass
+    if plain and windows.fixed(pattern) is not None:
+        return "windows"
+    if plain and seed(pattern) is not None:
+        return "seeds"
+    return "kernel"
 
 
 def stranded(seqs: DataFrame, both: bool) -> DataFrame:
@@ -61,8 +74,24 @@ def _forward(place: str) -> F.Column:
     return F.when(F.col("strand") == "+", F.col(place)).otherwise(F.col("seq_len") - F.col(place) + 1)
 
 
-def _regex(rows: DataFrame, pattern: Pattern, order: int, plain: bool, strict_n: bool) -> DataFrame:
-    found = rows.select("*", F.posexplode(hits(pattern, F.col("seq"), plain, strict_n)).alias("hit_ord", "_h"))
+def _native(rows: DataFrame, pattern: Pattern, order: int, found: F.Column) -> DataFrame:
+    """HITS rows from an array of structs (start, end, sizes of the units' pieces)."""
+    return _placed(rows.select("*", F.posexplode(found).alias("hit_ord", "_h")), pattern, order)
+
+
+def _seeds(rows: DataFrame, pattern: Pattern, order: int) -> DataFrame:
+    """HITS rows by a seed equi-join; each strand of a record is searched as a record."""
+    cut = seed(pattern)
+    named = rows.select(F.concat_ws(" ", F.col("seq_ord").cast("string"), "strand").alias("seq_id"), F.xxhash64("seq_ord", "strand").alias("seq_ord"), "seq")
+    kept = chain(candidates(named, pattern, cut), ["seq_id"])
+    joined = rows.withColumn("_id", F.concat_ws(" ", F.col("seq_ord").cast("string"), "strand")).join(kept.withColumnRenamed("seq_id", "_id"), "_id")
+    left, right = sum(n for *_, n in cut.left), sum(n for *_, n in cut.right)
+    span = F.col("end") - F.col("start") + 1
+    sizes = F.array(*[F.lit(n) for *_, n in cut.left], (span - left - right).cast("int"), *[F.lit(n) for *_, n in cut.right])
+    return _placed(joined.withColumn("_h", F.struct("start", "end", sizes.alias("sizes"))).drop("start", "end", "_id"), pattern, order)
+
+
+def _placed(found: DataFrame, pattern: Pattern, order: int) -> DataFrame:
     index = F.array(*[F.struct(F.lit(u.index).alias("unit"), F.lit(u.line).alias("line")) for u in pattern.flat])
     sizes = F.col("_h.sizes")
 
@@ -130,7 +159,8 @@ def scan(
     Without ``overlaps`` a strand's hits are a left-to-right chain, each behind
     the end of the last; with it all hits of the forward strand in order of
     choice. ``plain`` promises that sequences hold plain bases only, which lets
-    captures run as a native expression. ``engine`` is auto, regex or kernel.
+    captures run as a native expression. ``engine`` is auto, regex,
+    windows, seeds or kernel.
     Null sequences are empty. The result has the columns of HITS.
     """
     ship(seqs.sparkSession)
@@ -145,9 +175,12 @@ def scan(
     parts, slow = [], []
     for order, p in enumerate(parsed):
         way = strategy(p, plain, strict_n, align, overlaps) if engine == "auto" else engine
-        nested = any(u.kind == "either" for u in p.units)
-        if way == "regex" and not (nested and engine == "auto"):
-            parts.append(_regex(strands, p, order, plain, strict_n))
+        if way == "regex":
+            parts.append(_native(strands, p, order, hits(p, F.col("seq"), plain, strict_n)))
+        elif way == "windows":
+            parts.append(_native(strands, p, order, windows.hits(p, F.col("seq"))))
+        elif way == "seeds":
+            parts.append(_seeds(strands, p, order))
         else:
             slow.append((order, p))
     if slow:
@@ -202,8 +235,6 @@ def scan_long(seqs: DataFrame, pattern: str | Pattern, size: int = 1_000_000, st
     A piece yields the first hit of each of its starts; the chain over a
     record's pieces is the chain over the record, whatever the size of pieces.
     """
-    from seqmotif.operators.chain import chain
-
     ship(seqs.sparkSession)
     p = as_patterns(pattern, "dna")[0]
     if not splittable(p):
@@ -228,9 +259,6 @@ def scan_long(seqs: DataFrame, pattern: str | Pattern, size: int = 1_000_000, st
 
 def scan_seeds(seqs: DataFrame, pattern: str | Pattern) -> DataFrame:
     """(seq_ord, seq_id, hit_ord, start, end): forward hits of a gapped-repeat pattern on plain bases, by a seed equi-join."""
-    from seqmotif.operators.chain import chain
-    from seqmotif.plans.seedjoin import candidates, seed
-
     p = as_patterns(pattern, "dna")[0]
     cut = seed(p)
     if cut is None:

@@ -59,22 +59,22 @@ def candidates(seqs: DataFrame, pattern: Pattern, s: Seed) -> DataFrame:
 
     def windows(side: list[tuple[Unit, int, int]], name: str) -> tuple[DataFrame, int]:
         size = sum(n for _, _, n in side)
-        places = F.when(F.length("_s") >= size, F.sequence(F.lit(1), F.length("_s") - size + 1))
-        out = rows.select("seq_ord", "seq_id", "_s", F.explode(places).alias(name))
+        texts = F.regexp_extract_all("_s", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+        out = rows.select("seq_ord", "seq_id", F.posexplode(texts).alias("_at", "_w")).withColumn(name, F.col("_at") + 1)
         for u, offset, _ in side:
             if u.kind == "word":
                 word = "".join(letter_class(c) for c in u.letters)
-                out = out.where(F.substr("_s", F.col(name) + offset, F.lit(len(u.letters))).rlike(f"^{word}$"))
+                out = out.where(F.substring("_w", offset + 1, len(u.letters)).rlike(f"^{word}$"))
         return out, size
 
-    def piece(side: list[tuple[Unit, int, int]], unit: Unit, name: str) -> Column:
+    def piece(side: list[tuple[Unit, int, int]], unit: Unit) -> Column:
         offset, n = next((o, n) for u, o, n in side if u is unit)
-        return F.substr("_s", F.col(name) + offset, F.lit(n))
+        return F.substring("_w", offset + 1, n)
 
     left, left_size = windows(s.left, "start")
     right, right_size = windows(s.right, "at")
-    key = F.concat(*[piece(s.left, a, "start") for a, _ in s.pairs])
-    other = F.concat(*[revcomp(piece(s.right, b, "at")) if b.kind == "complement" else piece(s.right, b, "at") for _, b in s.pairs])
+    key = F.concat(*[piece(s.left, a) for a, _ in s.pairs])
+    other = F.concat(*[revcomp(piece(s.right, b)) if b.kind == "complement" else piece(s.right, b) for _, b in s.pairs])
     left = left.select("seq_ord", "seq_id", "start", key.alias("key"))
     right = right.select(F.col("seq_ord").alias("_o"), "at", other.alias("_k"))
     gap = F.col("at") - F.col("start") - left_size

@@ -1,0 +1,125 @@
+"""Patterns with few combinations of lengths, as native expressions over windows.
+
+Every start gets the window of letters a hit may span. For each combination of
+range lengths, in the order of choice, all units have fixed places in the
+window, so the pattern is one condition; the first that holds is the first hit
+of that start. Hits are then chained inside the row: no shuffle, no Python.
+Exact for sequences of plain bases (or protein without wildcards).
+"""
+
+from __future__ import annotations
+
+from itertools import product
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from seqmotif.functions import letter_class, normal, revcomp, weight_score
+from seqmotif.operators.chain import chained
+from seqmotif.pattern.parser import Pattern, lengths
+from seqmotif.pattern.units import Unit
+
+COMBINATIONS, SPAN = 128, 400
+
+
+def fixed(pattern: Pattern) -> list[Unit] | None:
+    """The ranges whose length varies, or None if the pattern has no window form."""
+    if any(u.kind == "either" for u in pattern.units) or not pattern.units[0].slides:
+        return None
+    if any(u.err[1] or u.err[2] or u.kind in ("start", "end") for u in pattern.flat):
+        return None
+    low, high = lengths(pattern.units)
+    ranges = [u for u in pattern.flat if u.kind == "range" and u.high > u.low]
+    count = 1
+    for u in ranges:
+        count *= u.high - u.low + 1
+    return ranges if low and high <= SPAN and count <= COMBINATIONS else None
+
+
+def differences(a: Column, b: Column, n: int) -> Column:
+    """How many of the first n letters of two texts differ."""
+    return sum((F.when(F.substring(a, k, 1) == F.substring(b, k, 1), 0).otherwise(1) for k in range(1, n + 1)), F.lit(0))
+
+
+def condition(u: Unit, piece: Column, n: int, captured: Column | None, sizes: dict[int, int], dna: bool) -> Column | None:
+    """What a unit asks of its n letters, or None if nothing."""
+    m = u.err[0]
+    if u.kind == "word":
+        if u.exact:
+            return piece.rlike("^" + "".join(letter_class(c) if dna else "." if c == "X" else c for c in u.letters) + "$")
+        other = sum((F.when(F.substring(piece, k + 1, 1).rlike(letter_class(c) if dna else "." if c == "X" else c), 0).otherwise(1) for k, c in enumerate(u.letters)), F.lit(0))
+        return other <= m
+    if u.kind in ("repeat", "reverse", "complement"):
+        if not n:
+            return None
+        want = captured if u.kind == "repeat" else F.reverse(captured) if u.kind == "reverse" else revcomp(captured)
+        if u.rule is not None:
+            back = F.reverse(captured)
+            allowed = F.array(*[F.lit(x) for x in u.letters.split(",")])
+            off = sum((F.when(F.array_contains(allowed, F.concat(F.substring(back, k, 1), F.substring(piece, k, 1))), 0).otherwise(1) for k in range(1, n + 1)), F.lit(0))
+            return off <= m
+        return piece == want if u.exact else differences(piece, want, n) <= m
+    if u.kind == "weight":
+        total = weight_score(piece, u.columns, dna)
+        return (total > u.low) & (total < u.high)
+    if u.kind == "set":
+        return piece.rlike("[A-Z]") & (piece.rlike(f"[{u.letters}]") != u.negated)
+    if u.kind == "limit":
+        return F.lit(sum(sizes[r] for r in u.refs) < u.high)
+    return None
+
+
+def firsts(pattern: Pattern, seq: Column) -> Column:
+    """array<struct<start,end,combination>> of the first hit of every start, 1-based."""
+    ranges = fixed(pattern)
+    if ranges is None:
+        raise ValueError("the pattern has no window form")
+    data = normal(seq) if pattern.dna else F.upper(seq)
+    low, high = lengths(pattern.units)
+    windows = F.regexp_extract_all(data, F.lit(f"(?s)(?=(.{{{low},{high}}}))"), F.lit(1))
+
+    def first(window: Column, at: Column) -> Column:
+        found = None
+        for number, chosen in enumerate(combinations(pattern)):
+            offset, named, pieces, sizes, ok = 0, {}, [], {}, None
+            for u, n in zip(pattern.flat, chosen):
+                piece = F.substring(window, offset + 1, n)
+                need = condition(u, piece, n, named.get(u.ref), sizes, pattern.dna)
+                ok = need if ok is None else ok if need is None else ok & need
+                if u.name is not None:
+                    named[u.name], sizes[u.name] = piece, n
+                pieces.append(n)
+                offset += n
+            whole = F.length(window) >= offset
+            ok = whole if ok is None else whole & ok
+            hit = F.struct((at + 1).cast("long").alias("start"), (at + offset).cast("long").alias("end"), F.lit(number).alias("combination"))
+            found = F.when(ok, hit) if found is None else found.when(ok, hit)
+        return found
+
+    return F.filter(F.transform(windows, first), lambda h: h.isNotNull())
+
+
+def combinations(pattern: Pattern) -> list[list[int]]:
+    """The units' lengths in every combination, in the order of choice."""
+    ranges = fixed(pattern) or []
+    out = []
+    for chosen in product(*(range(u.low, u.high + 1) for u in ranges)):
+        size = {u.index: n for u, n in zip(ranges, chosen)}
+        named: dict[int, int] = {}
+        row = []
+        for u in pattern.flat:
+            n = size.get(u.index, u.low) if u.kind == "range" else len(u.letters) if u.kind == "word" else named[u.ref] if u.ref is not None else len(u.columns) if u.kind == "weight" else int(u.kind == "set")
+            if u.name is not None:
+                named[u.name] = n
+            row.append(n)
+        out.append(row)
+    return out
+
+
+def hits(pattern: Pattern, seq: Column) -> Column:
+    """array<struct<start,end,sizes>> of the chained hits in ``seq``."""
+    found = firsts(pattern, seq)
+    kept = chained(F.transform(found, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
+    sizes = F.array(*[F.array(*map(F.lit, c)) for c in combinations(pattern)])
+    by_start = F.map_from_entries(F.transform(found, lambda h: F.struct(h["start"], h["combination"])))
+    return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(sizes, F.element_at(by_start, h["start"]) + 1).alias("sizes")))
