@@ -62,21 +62,29 @@ def with_score(schema: StructType) -> StructType:
 def components(edges: DataFrame, spark: SparkSession, store) -> DataFrame:
     """(id, component): each endpoint's smallest reachable id, for undirected edges (a, b) of longs.
 
-    Labels spread along the edges and are then jumped over by looking up the
-    label of one's label; each round is a stored table, so a lost executor
-    costs no more than the round it was in. Rounds go on until nothing moves.
+    In each round every vertex moves to its neighbour of the least hash (or
+    stays, if its own is less), and the edges between vertices that have met
+    vanish; hashes keep chains of moves short whatever the ids are. Each round
+    is a stored table, so a lost executor costs no more than the round it was in.
     """
-    both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), spark)
-    labels = store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("id"), "l"), spark)
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        spread = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("l", "m").alias("l"), F.col("l").alias("was"))
-        jump = labels.select(F.col("id").alias("l"), F.col("l").alias("far"))
-        fresh = store(spread.join(jump, "l", "left").select("id", F.least("l", F.coalesce("far", "l")).alias("l"), "was"), spark)
-        moved = fresh.where("l != was").limit(1).count()
-        labels = fresh.select("id", "l")
-        if not moved:
-            return labels.select("id", F.col("l").alias("component"))
+    edges = store(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), spark)
+    at = None
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("n"))
+        own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"))
+        moves = store(near.select("a", F.least(own, "n")["b"].alias("to")), spark)
+        left = edges.join(moves, "a").select(F.col("to").alias("x"), "b")
+        both_moved = left.join(moves.withColumnRenamed("a", "b"), "b").select("x", F.col("to").alias("y")).where("x != y")
+        edges = store(both_moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), spark)
+        if at is None:
+            at = moves.select(F.col("a").alias("id"), F.col("to").alias("at"))
+        else:
+            at = store(at.join(moves.select(F.col("a").alias("at"), "to"), "at", "left").select("id", F.coalesce("to", "at").alias("at")), spark)
+    if at is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    least = store(at.groupBy("at").agg(F.min("id").alias("component")), spark)
+    return store(at.join(least, "at").select("id", "component"), spark)
 
 
 def block_pairs(members: DataFrame, group: str, member: str, block: int) -> DataFrame:

@@ -188,7 +188,7 @@ def candidate_edges(sets: DataFrame, spark: SparkSession) -> DataFrame:
             dealt = ready.withColumns({"ba": F.lit(0).cast("long"), "bb": F.lit(0).cast("long")})
         dealt = dealt.select("path", "ba", "bb", "set_id", "sketch")
         least = SKETCH * 34 // 64
-        found = dealt.repartition("path", "ba", "bb").sortWithinPartitions("path", "ba", "bb").mapInArrow(lambda b: candidates(b, least), "a long, b long").distinct()
+        found = dealt.repartition("path", "ba", "bb").sortWithinPartitions("path", "ba", "bb", "set_id").mapInArrow(lambda b: candidates(b, least), "a long, b long").distinct()
         edges = found if edges is None else edges.unionByName(found)
         if level < DEPTH:
             large = met.where(F.col("size") > LIMIT).select("path", "set_id")
@@ -251,7 +251,7 @@ def join(documents: DataFrame, similarity: tuple[int, int] = (4, 5), recall: flo
     read = documents.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
     whole = read.join(members, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("component", "set_id", "weight", "text").dropDuplicates(["set_id"])
     pairs = block_pairs(stored(whole, spark), "component", "set_id", SET_BLOCK)
-    checked = pairs.repartition("component", "ba", "bb").sortWithinPartitions("component", "ba", "bb").mapInArrow(lambda b: exact(b, similarity, words), "a long, b long, n long")
+    checked = pairs.repartition("component", "ba", "bb").sortWithinPartitions("component", "ba", "bb", "set_id").mapInArrow(lambda b: exact(b, similarity, words), "a long, b long, n long")
     checked = stored(checked, spark)
     classes = components(checked.where("b >= 0").select("a", "b"), spark, stored)
     linked = checked.where("b < 0").groupBy("a").agg(F.sum("n").alias("others"))

@@ -161,7 +161,7 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     vectors = stored(prepare(embeddings), spark)
     size = int(min(64, max(8, np.ceil(max(1, vectors.count()) ** (1 / PARTS)))))
     dealt = block_pairs(stored(filtered(vectors, size), spark), "bucket", "vec_id", BLOCK)
-    edges = dealt.repartition("bucket", "ba", "bb").sortWithinPartitions("bucket", "ba", "bb").mapInArrow(lambda b: close(b, threshold), "a long, b long")
+    edges = dealt.repartition("bucket", "ba", "bb").sortWithinPartitions("bucket", "ba", "bb", "vec_id").mapInArrow(lambda b: close(b, threshold), "a long, b long")
     groups = components(stored(edges.distinct(), spark), spark, stored)
     members = vectors.join(groups, vectors["vec_id"] == groups["id"]).select("component", "vec_id", "vector")
     pairs = block_pairs(members, "component", "vec_id", BLOCK)
