@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KIND = "struct<past:long,out:array<struct<start:long,end:long>>>"
-
-
-def chained(pairs: Column) -> Column:
-    """Of (start, end) structs those that a greedy left-to-right pass keeps: each starts behind the end of the last kept."""
-    start = F.struct(F.lit(0).alias("past"), F.array().alias("out")).cast(KIND)
+def chained(found: Column) -> Column:
+    """Of structs (start, end, ...) those that a greedy left-to-right pass keeps: each starts behind the end of the last kept."""
 
     def step(acc: Column, x: Column) -> Column:
-        kept = F.struct(x["end"].cast("long").alias("past"), F.concat(acc["out"], F.array(F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))).alias("out")).cast(KIND)
+        kept = F.struct(x["end"].cast("long").alias("past"), F.concat(acc["out"], F.array(x)).alias("out"))
         return F.when(x["start"] > acc["past"], kept).otherwise(acc)
 
-    return F.aggregate(F.array_sort(pairs), start, step, lambda acc: acc["out"])
+    ordered = F.array_sort(found)
+    start = F.struct(F.lit(0).cast("long").alias("past"), F.slice(ordered, 1, 0).alias("out"))
+    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
 
 
 def chain(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Chain the first hits of all starts, per ``keys``; adds hit_ord from 0."""
     grouped = candidates.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("_pairs"))
     out = grouped.select(*keys, F.posexplode(chained(F.col("_pairs"))).alias("hit_ord", "_hit"))
-    return out.select(*keys, F.col("hit_ord").cast("long").alias("hit_ord"), F.col("_hit.start").alias("start"), F.col("_hit.end").alias("end"))
+    return out.select(*keys, F.col("hit_ord").cast("long").alias("hit_ord"), F.col("_hit.start").cast("long").alias("start"), F.col("_hit.end").cast("long").alias("end"))

@@ -91,19 +91,26 @@ def _seeds(rows: DataFrame, pattern: Pattern, order: int) -> DataFrame:
     return _placed(joined.withColumn("_h", F.struct("start", "end", sizes.alias("sizes"))).drop("start", "end", "_id"), pattern, order)
 
 
-def _placed(found: DataFrame, pattern: Pattern, order: int) -> DataFrame:
+def _windows(rows: DataFrame, pattern: Pattern, order: int) -> DataFrame:
+    """HITS rows by conditions over windows."""
+    found = windows.hits(rows, pattern, ["seq_ord", "seq_id", "seq_len", "strand"])
+    return _placed(found, pattern, order, F.col("_h.texts"))
+
+
+def _placed(found: DataFrame, pattern: Pattern, order: int, texts: F.Column | None = None) -> DataFrame:
+    """HITS rows from _h: start, end and the units' sizes or, given apart, texts."""
     index = F.array(*[F.struct(F.lit(u.index).alias("unit"), F.lit(u.line).alias("line")) for u in pattern.flat])
-    sizes = F.col("_h.sizes")
+    sizes = F.col("_h.sizes") if texts is None else F.transform(texts, F.length)
 
     def piece(x: F.Column, i: F.Column) -> F.Column:
         first = F.col("_h.start") + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b)
         size = sizes[i]
         plus = F.col("strand") == "+"
         a, b = first.cast("long"), (first + size - 1).cast("long")
-        return F.struct(x["unit"].alias("unit"), x["line"].alias("line"), F.when(plus, a).otherwise(F.col("seq_len") - b + 1).alias("start"), F.when(plus, b).otherwise(F.col("seq_len") - a + 1).alias("end"), F.substr("seq", first, size).alias("text"))
+        text = F.substr("seq", first.cast("int"), size) if texts is None else texts[i]
+        return F.struct(x["unit"].alias("unit"), x["line"].alias("line"), F.when(plus, a).otherwise(F.col("seq_len") - b + 1).alias("start"), F.when(plus, b).otherwise(F.col("seq_len") - a + 1).alias("end"), text.alias("text"))
 
-    used = F.transform(index, piece)
-    out = found.withColumn("units", used)
+    out = found.withColumn("units", F.transform(index, piece))
     out = out.withColumns({"_a": F.col("_h.start").cast("long"), "_b": F.col("_h.end").cast("long")})
     out = out.withColumns({"start": F.least(_forward("_a"), _forward("_b")), "end": F.greatest(_forward("_a"), _forward("_b"))})
     return out.select("seq_ord", "seq_id", "seq_len", F.lit(order).alias("pat_ord"), "strand", F.col("hit_ord").cast("long").alias("hit_ord"), "start", "end", F.col("units").cast(UNITS).alias("units"))
@@ -178,7 +185,7 @@ def scan(
         if way == "regex":
             parts.append(_native(strands, p, order, hits(p, F.col("seq"), plain, strict_n)))
         elif way == "windows":
-            parts.append(_native(strands, p, order, windows.hits(p, F.col("seq"))))
+            parts.append(_windows(strands, p, order))
         elif way == "seeds":
             parts.append(_seeds(strands, p, order))
         else:

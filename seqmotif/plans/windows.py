@@ -3,7 +3,7 @@
 Every start gets the window of letters a hit may span. For each combination of
 range lengths, in the order of choice, all units have fixed places in the
 window, so the pattern is one condition; the first that holds is the first hit
-of that start. Hits are then chained inside the row: no shuffle, no Python.
+of that start.
 Exact for sequences of plain bases (or protein without wildcards).
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmotif.functions import letter_class, normal, revcomp, weight_score
@@ -69,34 +69,21 @@ def condition(u: Unit, piece: Column, n: int, captured: Column | None, sizes: di
     return None
 
 
-def firsts(pattern: Pattern, seq: Column) -> Column:
-    """array<struct<start,end,combination>> of the first hit of every start, 1-based."""
-    ranges = fixed(pattern)
-    if ranges is None:
-        raise ValueError("the pattern has no window form")
-    data = normal(seq) if pattern.dna else F.upper(seq)
-    low, high = lengths(pattern.units)
-    windows = F.regexp_extract_all(data, F.lit(f"(?s)(?=(.{{{low},{high}}}))"), F.lit(1))
-
-    def first(window: Column, at: Column) -> Column:
-        found = None
-        for number, chosen in enumerate(combinations(pattern)):
-            offset, named, pieces, sizes, ok = 0, {}, [], {}, None
-            for u, n in zip(pattern.flat, chosen):
-                piece = F.substring(window, offset + 1, n)
-                need = condition(u, piece, n, named.get(u.ref), sizes, pattern.dna)
-                ok = need if ok is None else ok if need is None else ok & need
-                if u.name is not None:
-                    named[u.name], sizes[u.name] = piece, n
-                pieces.append(n)
-                offset += n
-            whole = F.length(window) >= offset
-            ok = whole if ok is None else whole & ok
-            hit = F.struct((at + 1).cast("long").alias("start"), (at + offset).cast("long").alias("end"), F.lit(number).alias("combination"))
-            found = F.when(ok, hit) if found is None else found.when(ok, hit)
-        return found
-
-    return F.filter(F.transform(windows, first), lambda h: h.isNotNull())
+def first(pattern: Pattern, window: Column) -> Column:
+    """struct(combination, length) of the first hit at a window's start, or null."""
+    data, found = normal(window) if pattern.dna else F.upper(window), None
+    for number, chosen in enumerate(combinations(pattern)):
+        offset, named, sizes, ok = 0, {}, {}, F.length(window) >= sum(chosen)
+        for u, n in zip(pattern.flat, chosen):
+            piece = F.substring(data, offset + 1, n)
+            need = condition(u, piece, n, named.get(u.ref), sizes, pattern.dna)
+            ok = ok if need is None else ok & need
+            if u.name is not None:
+                named[u.name], sizes[u.name] = piece, n
+            offset += n
+        hit = F.struct(F.lit(number).alias("combination"), F.lit(offset).alias("length"))
+        found = F.when(ok, hit) if found is None else found.when(ok, hit)
+    return found
 
 
 def combinations(pattern: Pattern) -> list[list[int]]:
@@ -116,10 +103,20 @@ def combinations(pattern: Pattern) -> list[list[int]]:
     return out
 
 
-def hits(pattern: Pattern, seq: Column) -> Column:
-    """array<struct<start,end,sizes>> of the chained hits in ``seq``."""
-    found = firsts(pattern, seq)
-    kept = chained(F.transform(found, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
-    sizes = F.array(*[F.array(*map(F.lit, c)) for c in combinations(pattern)])
-    by_start = F.map_from_entries(F.transform(found, lambda h: F.struct(h["start"], h["combination"])))
-    return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(sizes, F.element_at(by_start, h["start"]) + 1).alias("sizes")))
+def hits(rows: DataFrame, pattern: Pattern, keys: list[str]) -> DataFrame:
+    """``keys``, hit_ord and _h = struct(start, end, texts of the units) of the chained hits of ``seq``.
+
+    Conditions run in compiled code over exploded windows; only first hits are
+    shuffled, to be chained per sequence.
+    """
+    low, high = lengths(pattern.units)
+    windows = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{{low},{high}}}))"), F.lit(1))
+    found = rows.select(*keys, F.posexplode(windows).alias("_at", "_w")).withColumn("_f", first(pattern, F.col("_w"))).where("_f IS NOT NULL")
+    texts = None
+    for number, chosen in enumerate(combinations(pattern)):
+        pieces = F.array(*[F.substring("_w", sum(chosen[:k]) + 1, n) for k, n in enumerate(chosen)])
+        this = F.col("_f.combination") == number
+        texts = F.when(this, pieces) if texts is None else texts.when(this, pieces)
+    hit = F.struct((F.col("_at") + 1).cast("long").alias("start"), (F.col("_at") + F.col("_f.length")).cast("long").alias("end"), texts.alias("texts"))
+    grouped = found.select(*keys, hit.alias("_hit")).groupBy(*keys).agg(F.collect_list("_hit").alias("_hits"))
+    return grouped.select(*keys, F.posexplode(chained(F.col("_hits"))).alias("hit_ord", "_h"))

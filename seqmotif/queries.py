@@ -36,12 +36,11 @@ def base_sql(kind: str = "dna") -> str:
     return f"s AS (SELECT doc_id AS seq_ord, regexp_replace({letters}, '{KEEP[kind]}', '', 'g') AS s FROM documents), p AS (SELECT seq_ord, s, unnest(range(1, length(s) + 1)) AS i FROM s)"
 
 
-def chain_sql(candidates: str, kind: str = "dna", columns: str = 'c.seq_ord, CAST(c.start AS BIGINT) AS start, CAST(c."end" AS BIGINT) AS "end"') -> str:
-    """The left-to-right chain over the first hits of all starts, as a walk along next pointers."""
-    return f"""WITH RECURSIVE {base_sql(kind)}, c AS ({candidates}),
-nx AS (SELECT a.seq_ord, a.start, b.start AS nxt FROM c a ASOF JOIN c b ON a.seq_ord = b.seq_ord AND a."end" < b.start),
-w AS (SELECT seq_ord, min(start) AS start FROM c GROUP BY seq_ord UNION ALL SELECT nx.seq_ord, nx.nxt FROM w JOIN nx USING (seq_ord, start))
-SELECT {columns} FROM w JOIN c USING (seq_ord, start)"""
+def chain_sql(candidates: str, kind: str = "dna", columns: str = 'seq_ord, CAST(h.start AS BIGINT) AS start, CAST(h."end" AS BIGINT) AS "end"') -> str:
+    """The left-to-right chain over the first hits of all starts, folded over each sequence's list of them; ``h`` is a kept hit."""
+    return f"""WITH {base_sql(kind)}, c AS ({candidates}),
+r AS (SELECT seq_ord, unnest(list_reduce(list([{{'start': start, 'end': "end"}}] ORDER BY start), lambda a, b: CASE WHEN b[1].start > a[-1]."end" THEN list_concat(a, b) ELSE a END)) AS h FROM c GROUP BY seq_ord)
+SELECT {columns} FROM r"""
 
 
 def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -209,8 +208,8 @@ CA p2=4...4       %@ five_prime_terminal_inverted_repeat
 ~p2 TG            %@ three_prime_terminal_inverted_repeat
 p1                %@ target_site_duplication
 """
-ELEMENT_SQL = chain_sql(first_sql(GAP.format(10, 61), f"{at(2, '3')} = 'CA' AND {at(4, '9 + g')} = {revcomp_sql(at(4, '5'))} AND {at(2, '13 + g')} = 'TG' AND {at(3, '15 + g')} = {at(3)}", "18 + g", "g"), columns="c.seq_ord, s.s, c.start AS a, c.\"end\" AS b")
-ELEMENT_SQL = f"""SELECT *, CAST(row_number() OVER (ORDER BY seq_ord, a) AS BIGINT) AS n FROM ({ELEMENT_SQL} JOIN s ON s.seq_ord = c.seq_ord)"""
+ELEMENT_SQL = chain_sql(first_sql(GAP.format(10, 61), f"{at(2, '3')} = 'CA' AND {at(4, '9 + g')} = {revcomp_sql(at(4, '5'))} AND {at(2, '13 + g')} = 'TG' AND {at(3, '15 + g')} = {at(3)}", "18 + g", "g"), columns="r.seq_ord, s.s, h.start AS a, h.\"end\" AS b")
+ELEMENT_SQL = f"""SELECT *, CAST(row_number() OVER (ORDER BY seq_ord, a) AS BIGINT) AS n FROM ({ELEMENT_SQL} JOIN s ON s.seq_ord = r.seq_ord)"""
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
