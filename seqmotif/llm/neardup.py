@@ -3,7 +3,7 @@
 Filters are the words of a random product code: a vector is rotated and cut
 into ``PARTS`` parts, each part has its own small set of random unit
 directions, and a filter is one direction of each part. Each vector is
-list-decoded: all filters whose inner product is within ``MARGIN`` of the
+list-decoded: all filters whose inner product is within a margin of the
 vector's best one, found part by part with the bound that the best directions
 of the remaining parts give. A vector at cosine 0.98 of another differs from it
 by 0.2 in an independent direction, of which a filter sees about 0.2 / sqrt(d);
@@ -35,7 +35,8 @@ from seqmotif.llm.common import block_pairs, components, forest, whole_groups
 from seqmotif.llm.topk import usable
 from seqmotif.session import ship, stored
 
-PARTS, MARGIN, BLOCK, SMALL = 4, 0.09, 1000, 48
+#: The margin is MARGIN / sqrt(dimension).
+PARTS, MARGIN, BLOCK = 4, 0.36, 1000
 
 
 class Code:
@@ -49,7 +50,7 @@ class Code:
         for cut in self.cuts:
             words = rng.standard_normal((size, len(cut)))
             self.words.append(words / np.linalg.norm(words, axis=1, keepdims=True) / np.sqrt(len(self.cuts)))
-        self.size = size
+        self.size, self.margin = size, MARGIN / np.sqrt(dim)
 
     def decode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters within the margin of each row's best."""
@@ -59,7 +60,7 @@ class Code:
         row, code, gap = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
         for part in lost:
             total = gap[:, None] + part[row]
-            at, word = np.nonzero(total <= MARGIN)
+            at, word = np.nonzero(total <= self.margin)
             row, code, gap = row[at], code[at] * self.size + word, total[at, word]
         return row, code
 
@@ -92,12 +93,12 @@ def prepare(embeddings: DataFrame) -> DataFrame:
 
 
 def filtered(vectors: DataFrame, size: int) -> DataFrame:
-    """(bucket, vec_id, vector): each vector under every filter it exceeds, with its label and dimension in the bucket's key."""
+    """(bucket, vec_id): each vector under every filter it exceeds; label and dimension are part of the bucket's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
         for batch in batches:
-            dims, labels = batch.column("dim").to_numpy(), batch.column("label").to_pylist()
+            dims, labels, ids = batch.column("dim").to_numpy(), batch.column("label").to_pylist(), batch.column("vec_id").to_numpy()
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
                 code = codes.setdefault(dim, Code(dim, size))
@@ -106,10 +107,9 @@ def filtered(vectors: DataFrame, size: int) -> DataFrame:
                     row, word = code.decode(unit(batch, mine))
                     salt = np.array([xxhash.xxh3_64_intdigest(f"{dim} {labels[k]}") for k in mine.tolist()], np.uint64)
                     key = (word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ salt[row]
-                    take = pa.array(mine[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("vec_id").take(take), batch.column("label").take(take), batch.column("vector").take(take)], ["bucket", "vec_id", "label", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[mine[row]])], ["bucket", "vec_id"])
 
-    return vectors.mapInArrow(run, "bucket long, vec_id long, label string, vector binary")
+    return vectors.mapInArrow(run, "bucket long, vec_id long")
 
 
 def close(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -159,8 +159,11 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     spark = embeddings.sparkSession
     ship(spark)
     vectors = stored(prepare(embeddings), spark)
-    size = int(min(64, max(8, np.ceil(max(1, vectors.count()) ** (1 / PARTS)))))
-    dealt = block_pairs(stored(filtered(vectors, size), spark), "bucket", "vec_id", BLOCK)
+    size = int(min(96, max(8, np.ceil(1.5 * max(1, vectors.count()) ** (1 / PARTS)))))
+    keys = stored(filtered(vectors, size), spark)
+    shared = stored(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), spark)
+    dealt = block_pairs(keys.join(shared, "bucket"), "bucket", "vec_id", BLOCK).drop("left")
+    dealt = dealt.join(vectors.select("vec_id", "label", "vector"), "vec_id").select("bucket", "ba", "bb", "vec_id", "label", "vector")
     edges = dealt.repartition("bucket", "ba", "bb").sortWithinPartitions("bucket", "ba", "bb", "vec_id").mapInArrow(lambda b: close(b, threshold), "a long, b long")
     groups = components(stored(edges.distinct(), spark), spark, stored)
     members = vectors.join(groups, vectors["vec_id"] == groups["id"]).select("component", "vec_id", "vector")
