@@ -19,7 +19,8 @@ from seqmotif.operators.chain import chained
 from seqmotif.pattern.parser import Pattern, lengths
 from seqmotif.pattern.units import Unit
 
-COMBINATIONS, SPAN = 128, 400
+#: More combinations would not fit into one compiled method.
+COMBINATIONS, SPAN = 24, 400
 
 
 def fixed(pattern: Pattern) -> list[Unit] | None:

@@ -33,7 +33,9 @@ def sequences(spark: SparkSession, sf_dir: str, kind: str = "dna") -> DataFrame:
 def base_sql(kind: str = "dna") -> str:
     """CTEs s (seq_ord, s) and p (seq_ord, s, i): sequences and their positions."""
     letters = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
-    return f"s AS (SELECT doc_id AS seq_ord, regexp_replace({letters}, '{KEEP[kind]}', '', 'g') AS s FROM documents), p AS (SELECT seq_ord, s, unnest(range(1, length(s) + 1)) AS i FROM s)"
+    kept = f"regexp_replace({letters}, '{KEEP[kind]}', '', 'g')"
+    kept = f"replace({kept}, 'U', 'T')" if kind == "iupac" else kept
+    return f"s AS (SELECT doc_id AS seq_ord, {kept} AS s FROM documents), p AS (SELECT seq_ord, s, unnest(range(1, length(s) + 1)) AS i FROM s)"
 
 
 def chain_sql(candidates: str, kind: str = "dna", columns: str = 'seq_ord, CAST(h.start AS BIGINT) AS start, CAST(h."end" AS BIGINT) AS "end"') -> str:
@@ -111,8 +113,8 @@ weight_text = "{" + ",".join("(" + ",".join(map(str, c)) + ")" for c in COLUMNS)
 scanned("weight_matrix", f"{weight_text} > 120", fixed_sql(f"({score_sql}) > 120", 4))
 scanned("weight_upper_bound", f"190 > {weight_text} > 120", fixed_sql(f"({score_sql}) > 120 AND ({score_sql}) < 190", 4))
 PROTEIN = [[(7 * k + 3 * j) % 11 - 4 for k in range(20)] for j in range(4)]
-protein_sql = " + ".join("CASE " + " ".join(f"WHEN {at(1, str(k))} = '{b}' THEN {w}" for b, w in zip("ACDEFGHIKLMNPQRSTVWY", c)) + " ELSE 0 END" for k, c in enumerate(PROTEIN))
-scanned("weight_protein", "{" + ",".join("(" + ",".join(map(str, c)) + ")" for c in PROTEIN) + "} > 12", fixed_sql(f"({protein_sql}) > 12", 4), "protein")
+protein_sql = " + ".join(f"coalesce({c}[strpos('ACDEFGHIKLMNPQRSTVWY', {at(1, str(k))})], 0)" for k, c in enumerate(PROTEIN))
+scanned("weight_protein", "{" + ",".join("(" + ",".join(map(str, c)) + ")" for c in PROTEIN) + "} > 20", fixed_sql(f"({protein_sql}) > 20", 4), "protein")
 scanned("length_limit", "p1=3...5 CAT p2=2...5 length(p1+p2) < 8 A", first_sql("(SELECT unnest(range(3, 6)) AS n) n, (SELECT unnest(range(2, 6)) AS g) g", f"{at(3, 'n')} = 'CAT' AND n + g < 8 AND {at(1, 'n + 3 + g')} = 'A'", "n + 4 + g", "n, g"))
 scanned("alternative", "TA ( ACA | GG ) T", first_sql("(SELECT unnest(['ACA', 'GG']) AS a, unnest([1, 2]) AS b) b", f"{at('3 + length(a)')} = 'TA' || a || 'T'", "3 + length(a)", "b"))
 scanned("alternative_first", "( TATA | GCG )", None)
@@ -135,14 +137,14 @@ def overlapping_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(sequences(spark, sf_dir), "p1=4...4 1...4 p1", overlaps=True).select("seq_ord", "start", "end", "hit_ord")
 
 
-@add("both_strands", f"""WITH {base_sql()} SELECT seq_ord, strand, CAST(i AS BIGINT) AS start, CAST(i + 5 AS BIGINT) AS "end" FROM p, (VALUES ('+', 'ACGGTA'), ('-', 'TACCGT')) v(strand, w) WHERE substr(s, i, 6) = w""")
+@add("both_strands", f"""WITH {base_sql()} SELECT seq_ord, strand, CAST(i AS BIGINT) AS start, CAST(i + 3 AS BIGINT) AS "end" FROM p, (VALUES ('+', 'TGGA'), ('-', 'TCCA')) v(strand, w) WHERE substr(s, i, 4) = w""")
 def both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(sequences(spark, sf_dir), "ACGGTA", both_strands=True, plain=True).select("seq_ord", "strand", "start", "end")
+    return scan.scan(sequences(spark, sf_dir), "TGGA", both_strands=True, plain=True).select("seq_ord", "strand", "start", "end")
 
 
-@add("dedup_strands", f"""WITH {base_sql()} SELECT seq_ord, CAST(i AS BIGINT) AS start, CAST(i + 5 AS BIGINT) AS "end", '.' AS strand FROM p WHERE substr(s, i, 6) = 'AACGTT'""")
+@add("dedup_strands", f"""WITH {base_sql()} SELECT seq_ord, CAST(i AS BIGINT) AS start, CAST(i + 3 AS BIGINT) AS "end", '.' AS strand FROM p WHERE substr(s, i, 4) = 'AATT'""")
 def dedup_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.scan(sequences(spark, sf_dir), "AACGTT", both_strands=True, plain=True)
+    found = scan.scan(sequences(spark, sf_dir), "AATT", both_strands=True, plain=True)
     return features.dedup_strands(found).select("seq_ord", "start", "end", F.col("shown").alias("strand"))
 
 
@@ -173,14 +175,14 @@ def multi_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(sequences(spark, sf_dir), WORDS, plain=True).where("pat_ord <> 1").select("seq_ord", "pat_ord", "start", "end")
 
 
-HITS_SQL = f"""{base_sql()}, h AS (SELECT seq_ord, i, CAST(row_number() OVER (ORDER BY seq_ord, i) AS BIGINT) AS n FROM p WHERE substr(s, i, 6) = 'ACGGTA')"""
+HITS_SQL = f"""{base_sql()}, h AS (SELECT seq_ord, i, CAST(row_number() OVER (ORDER BY seq_ord, i) AS BIGINT) AS n FROM p WHERE substr(s, i, 5) = 'TATAA')"""
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(sequences(spark, sf_dir), "ACGGTA", plain=True)
+    return scan.scan(sequences(spark, sf_dir), "TATAA", plain=True)
 
 
-@add("native_text", f"""WITH {HITS_SQL} SELECT '>' || seq_ord || ':[' || i || ',' || (i + 5) || ']' || chr(10) || 'ACGGTA ' AS text FROM h""")
+@add("native_text", f"""WITH {HITS_SQL} SELECT '>' || seq_ord || ':[' || i || ',' || (i + 4) || ']' || chr(10) || 'TATAA ' AS text FROM h""")
 def native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.native_text(planted(spark, sf_dir)).select("text")
 
@@ -190,25 +192,25 @@ def named_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.named(planted(spark, sf_dir), ["M"], first=7).select("seq_ord", "start", "name")
 
 
-@add("bed6", f"""WITH {HITS_SQL} SELECT seq_ord || chr(9) || (i - 1) || chr(9) || (i + 5) || chr(9) || 'M' || n || chr(9) || '0' || chr(9) || '+' AS text FROM h""")
+@add("bed6", f"""WITH {HITS_SQL} SELECT seq_ord || chr(9) || (i - 1) || chr(9) || (i + 4) || chr(9) || 'M' || n || chr(9) || '0' || chr(9) || '+' AS text FROM h""")
 def bed6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.bed6(features.named(planted(spark, sf_dir), ["M"])).select("text")
 
 
-@add("jsonl_units", f"""WITH {HITS_SQL} SELECT '{{"seq":"' || seq_ord || '","strand":"+","start":' || i || ',"end":' || (i + 5) || ',"name":"M' || n || '","type":"sequence_motif","units":[{{"line":1,"start":' || i || ',"end":' || (i + 5) || ',"text":"ACGGTA"}}]}}' AS text FROM h""")
+@add("jsonl_units", f"""WITH {HITS_SQL} SELECT '{{"seq":"' || seq_ord || '","strand":"+","start":' || i || ',"end":' || (i + 4) || ',"name":"M' || n || '","type":"sequence_motif","units":[{{"line":1,"start":' || i || ',"end":' || (i + 4) || ',"text":"TATAA"}}]}}' AS text FROM h""")
 def jsonl_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features.named(planted(spark, sf_dir), ["M"], keep_empty=True)
-    return features.rendered(found, [parse("ACGGTA")], "jsonl").select("text")
+    return features.rendered(found, [parse("TATAA")], "jsonl").select("text")
 
 
 LABELLED = """%@element CACTA_TIR_transposon Name=DTC Classification=TIR/DTC
-p1=3...3          %@ target_site_duplication
-CA p2=4...4       %@ five_prime_terminal_inverted_repeat
+p1=2...2          %@ target_site_duplication
+CA p2=3...3       %@ five_prime_terminal_inverted_repeat
 10...60
 ~p2 TG            %@ three_prime_terminal_inverted_repeat
 p1                %@ target_site_duplication
 """
-ELEMENT_SQL = chain_sql(first_sql(GAP.format(10, 61), f"{at(2, '3')} = 'CA' AND {at(4, '9 + g')} = {revcomp_sql(at(4, '5'))} AND {at(2, '13 + g')} = 'TG' AND {at(3, '15 + g')} = {at(3)}", "18 + g", "g"), columns="r.seq_ord, s.s, h.start AS a, h.\"end\" AS b")
+ELEMENT_SQL = chain_sql(first_sql(GAP.format(10, 61), f"{at(2, '2')} = 'CA' AND {at(3, '7 + g')} = {revcomp_sql(at(3, '4'))} AND {at(2, '10 + g')} = 'TG' AND {at(2, '12 + g')} = {at(2)}", "14 + g", "g"), columns="r.seq_ord, s.s, h.start AS a, h.\"end\" AS b")
 ELEMENT_SQL = f"""SELECT *, CAST(row_number() OVER (ORDER BY seq_ord, a) AS BIGINT) AS n FROM ({ELEMENT_SQL} JOIN s ON s.seq_ord = r.seq_ord)"""
 
 
@@ -216,7 +218,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.named(scan.scan(sequences(spark, sf_dir), parse(LABELLED), plain=True), ["DTC"])
 
 
-@add("bed12", f"""SELECT seq_ord || chr(9) || (a - 1) || chr(9) || b || chr(9) || 'DTC' || n || chr(9) || '0' || chr(9) || '+' || chr(9) || (a + 2) || chr(9) || (b - 3) || chr(9) || '0' || chr(9) || '4' || chr(9) || '3,6,6,3,' || chr(9) || '0,3,' || (b - a - 8) || ',' || (b - a - 2) || ',' AS text FROM ({ELEMENT_SQL})""")
+@add("bed12", f"""SELECT seq_ord || chr(9) || (a - 1) || chr(9) || b || chr(9) || 'DTC' || n || chr(9) || '0' || chr(9) || '+' || chr(9) || (a + 1) || chr(9) || (b - 2) || chr(9) || '0' || chr(9) || '4' || chr(9) || '2,5,5,2,' || chr(9) || '0,2,' || (b - a - 6) || ',' || (b - a - 1) || ',' AS text FROM ({ELEMENT_SQL})""")
 def bed12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.rendered(elements(spark, sf_dir), [parse(LABELLED)], "bed12").select("text")
 
@@ -226,16 +228,16 @@ def _feature_sql(kind: str, a: str, b: str, suffix: str, parent: str | None, ter
     return f"seq_ord || chr(9) || 'seqmotif' || chr(9) || '{kind}' || chr(9) || ({a}) || chr(9) || ({b}) || chr(9) || '.' || chr(9) || '+' || chr(9) || '.' || chr(9) || 'ID=DTC' || n || '{suffix}' || {up}';Name=DTC' || n || ';Classification=TIR/DTC;Method=structural;Sequence_ontology={term}' || {more} || chr(10)"
 
 
-_TSD = "';TSD=' || substr(s, a, 3) || '_' || substr(s, a, 3) || ';TIR=' || substr(s, a + 3, 6) || '_' || substr(s, b - 8, 6)"
+_TSD = "';TSD=' || substr(s, a, 2) || '_' || substr(s, a, 2) || ';TIR=' || substr(s, a + 2, 5) || '_' || substr(s, b - 6, 5)"
 
 
 @add("gff3_features", "SELECT " + " || ".join([
     _feature_sql("repeat_region", "a", "b", "", None, "SO:0000657"),
-    _feature_sql("target_site_duplication", "a", "a + 2", ".lTSD", "", "SO:0000434"),
-    _feature_sql("CACTA_TIR_transposon", "a + 3", "b - 3", ".te", "", "SO:0002285", _TSD),
-    _feature_sql("five_prime_terminal_inverted_repeat", "a + 3", "a + 8", ".lTIR", ".te", "SO:0000420"),
-    _feature_sql("three_prime_terminal_inverted_repeat", "b - 8", "b - 3", ".rTIR", ".te", "SO:0000421"),
-    _feature_sql("target_site_duplication", "b - 2", "b", ".rTSD", "", "SO:0000434"),
+    _feature_sql("target_site_duplication", "a", "a + 1", ".lTSD", "", "SO:0000434"),
+    _feature_sql("CACTA_TIR_transposon", "a + 2", "b - 2", ".te", "", "SO:0002285", _TSD),
+    _feature_sql("five_prime_terminal_inverted_repeat", "a + 2", "a + 6", ".lTIR", ".te", "SO:0000420"),
+    _feature_sql("three_prime_terminal_inverted_repeat", "b - 6", "b - 2", ".rTIR", ".te", "SO:0000421"),
+    _feature_sql("target_site_duplication", "b - 1", "b", ".rTSD", "", "SO:0000434"),
 ]) + f" || '###' AS text FROM ({ELEMENT_SQL})")
 def gff3_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.rendered(elements(spark, sf_dir), [parse(LABELLED)], "gff3").select("text")
