@@ -48,9 +48,12 @@ def kmers(seq: Column | str, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
-def weight_score(seq: Column | str, columns: list[list[int]], dna: bool = True) -> Column:
-    """Score of equally long ``seq`` under a weight matrix, plain letters (others score 0, or the 21st weight)."""
-    text = normal(seq) if dna else F.upper(seq)
+def weight_score(seq: Column | str, columns: list[list[int]], dna: bool = True, ready: bool = False) -> Column:
+    """Score of equally long ``seq`` under a weight matrix, plain letters (others score 0, or the 21st weight).
+
+    ``ready``: the sequence is in normal form already.
+    """
+    text = seq if ready else normal(seq) if dna else F.upper(seq)
     total = F.lit(0)
     for k, column in enumerate(columns):
         letter, score = F.substring(text, k + 1, 1), F.lit(column[20] if len(column) > 20 else 0)

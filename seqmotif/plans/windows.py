@@ -61,7 +61,7 @@ def condition(u: Unit, piece: Column, n: int, captured: Column | None, sizes: di
             return off <= m
         return piece == want if u.exact else differences(piece, want, n) <= m
     if u.kind == "weight":
-        total = weight_score(piece, u.columns, dna)
+        total = weight_score(piece, u.columns, dna, ready=True)
         return (total > u.low) & (total < u.high)
     if u.kind == "set":
         return piece.rlike("[A-Z]") & (piece.rlike(f"[{u.letters}]") != u.negated)
@@ -71,8 +71,8 @@ def condition(u: Unit, piece: Column, n: int, captured: Column | None, sizes: di
 
 
 def first(pattern: Pattern, window: Column) -> Column:
-    """struct(combination, length) of the first hit at a window's start, or null."""
-    data, found = normal(window) if pattern.dna else F.upper(window), None
+    """struct(combination, length) of the first hit at the start of a window in normal form, or null."""
+    data, found = window, None
     for number, chosen in enumerate(combinations(pattern)):
         offset, named, sizes, ok = 0, {}, {}, F.length(window) >= sum(chosen)
         for u, n in zip(pattern.flat, chosen):
@@ -111,8 +111,10 @@ def hits(rows: DataFrame, pattern: Pattern, keys: list[str]) -> DataFrame:
     shuffled, to be chained per sequence.
     """
     low, high = lengths(pattern.units)
-    windows = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{{low},{high}}}))"), F.lit(1))
-    found = rows.select(*keys, F.posexplode(windows).alias("_at", "_w")).withColumn("_f", first(pattern, F.col("_w"))).where("_f IS NOT NULL")
+    cut = lambda seq: F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{low},{high}}}))"), F.lit(1))
+    both = F.arrays_zip(cut(F.col("seq")).alias("text"), cut(normal("seq") if pattern.dna else F.upper("seq")).alias("form"))
+    found = rows.select(*keys, F.posexplode(both).alias("_at", "_x")).select(*keys, "_at", F.col("_x.text").alias("_w"), F.col("_x.form").alias("_n"))
+    found = found.withColumn("_f", first(pattern, F.col("_n"))).where("_f IS NOT NULL")
     texts = None
     for number, chosen in enumerate(combinations(pattern)):
         pieces = F.array(*[F.substring("_w", sum(chosen[:k]) + 1, n) for k, n in enumerate(chosen)])
