@@ -7,9 +7,12 @@ notices, adverts, forms, scripts, styles, hidden parts and reader comments
 (by element, role, class or id) are set aside. The text-to-tag ratio of the
 lines that are left is smoothed with a Gaussian kernel; lines over the
 threshold (a share of the spread, so that it scales with the page) form
-clusters, and the container with the most clustered text is the content
-region. All lines of that region are returned, short ones too; without an
-article or main element the region is the page.
+clusters. The article or main element with the most clustered text is the
+content region, and all its lines are returned, short ones too. Without such an
+element, or if most of the clustered text stands outside of them, the clusters
+are the region: their edges are cut back to lines over the threshold and then
+grown over neighbours in the same block; what lies between two clusters belongs
+to them unless it has lists of links.
 
 Null html counts as empty. Text is "" if there is none. White space within a
 line becomes one space; a line break element is white space. Repeated rows and
@@ -36,6 +39,8 @@ ASIDE = frozenset("head nav header footer aside form script style noscript templ
 #: Words of class, id or role that mark what is not main text.
 NOISE = frozenset("ad ads adv advert advertisement advertisements adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer contentinfo sidebar complementary aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall search form pagination pager skip hidden".split())
 CONTENT = ("article", "main")
+#: Blocks inside which a line still counts to the block around them.
+INNER = frozenset("blockquote caption center dd details dir dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre summary table tbody td tfoot th thead tr ul".split())
 
 
 def noisy(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -55,35 +60,39 @@ def noisy(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, number of the content container, in link letters)."""
+    """Collects lines: (text, tags, number of the content container, in link letters, number of the block)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.containers = 0
-        self.open: list[tuple[str, bool, int]] = []  # element, set aside, content container
+        self.tags = self.linked = self.containers = self.blocks = 0
+        self.open: list[tuple[str, bool, int, int]] = []  # element, set aside, content container, block
 
-    def state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
+
+    def count_tag(self) -> None:
+        """What is set aside does not weigh on the lines around it."""
+        self.tags += not self.state()[0]
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            aside, container = self.state()
+            aside, container, block = self.state()
             if text and not aside:
-                self.lines.append((text, self.tags, container, self.linked))
+                self.lines.append((text, self.tags, container, self.linked, block))
             self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
-        self.tags += 1
+        self.count_tag()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        aside, container = self.state()
+        aside, container, block = self.state()
         now = aside or noisy(tag, attrs)
         if not now and tag in CONTENT and (tag == "article" or not container):
             self.containers += 1
@@ -91,12 +100,15 @@ class Lines(HTMLParser):
         if tag in BLOCKS or now != aside or now and tag in ("div", "span") or tag == "a":
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not now:
                 return  # often left open; they bound lines and hold nothing else
-            self.open.append((tag, now, container))
+            if tag in BLOCKS and tag not in INNER:
+                self.blocks += 1
+                block = self.blocks
+            self.open.append((tag, now, container, block))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
-        self.tags += 1
+        self.count_tag()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 del self.open[k:]
@@ -107,7 +119,7 @@ class Lines(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
-        self.tags += 1
+        self.count_tag()
         if tag == "br":
             self.parts.append(" ")
 
@@ -124,6 +136,28 @@ def smooth(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def clustered(chosen: np.ndarray, dense: np.ndarray, links: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Which lines are in the region of the clusters of ``chosen`` lines. dense: over the threshold unsmoothed, links: mostly link text, blocks: where lines stand."""
+    n = len(chosen)
+    inside = np.zeros(n, bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], chosen, [0]])))
+    past = -1
+    for a, b in edges.reshape(-1, 2):
+        own = a + np.flatnonzero(dense[a:b])
+        if not len(own):
+            continue
+        a, b = own[0], own[-1] + 1
+        while a > 0 and blocks[a - 1] == blocks[a] and not links[a - 1]:
+            a -= 1
+        while b < n and blocks[b] == blocks[b - 1] and not links[b]:
+            b += 1
+        if past >= 0 and not links[past:a].any():
+            a = past
+        inside[a:b] = True
+        past = b
+    return inside
+
+
 def extract(html: str, share: float = 0.3) -> str:
     """The main text of one page, its blocks joined by an empty line."""
     parser = Lines()
@@ -133,16 +167,19 @@ def extract(html: str, share: float = 0.3) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    letters = np.array([len(t) - linked for t, _, _, linked in lines], float)
-    ratios = smooth(np.maximum(letters, 0) / np.maximum(1, [tags for _, tags, _, _ in lines]))
-    region = np.array([c for _, _, c, _ in lines])
-    chosen = ratios >= share * ratios.std()
+    tags, region, linked, blocks = (np.array(x) for x in list(zip(*lines))[1:])
+    sizes = np.array([len(t) for t, *_ in lines])
+    letters = np.maximum(sizes - linked, 0).astype(float)
+    own = letters / np.maximum(1, tags)
+    ratios = smooth(own)
+    least = share * ratios.std()
+    chosen = ratios >= least
     weight = np.bincount(region, np.where(chosen, letters, 0))
-    inside = np.flatnonzero(weight[1:] > 0) + 1
-    if len(inside):
-        best = int(inside[weight[inside].argmax()])
-        return "\n\n".join(t for t, _, c, _ in lines if c == best)
-    return "\n\n".join(t for t, _, _, _ in lines)
+    if weight[1:].sum() > weight[0]:
+        inside = region == weight[1:].argmax() + 1
+    else:
+        inside = clustered(chosen, own >= least, 2 * linked > sizes, blocks)
+    return "\n\n".join(t for (t, *_), keep in zip(lines, inside) if keep)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

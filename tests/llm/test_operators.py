@@ -242,6 +242,20 @@ def test_html(html, text):
     assert html_text.extract(html) == text
 
 
+PROSE = "This sentence stands for a paragraph of the main text of a page, as long as paragraphs are."
+MORE = "Another paragraph goes on about the same matter, and it too is as long as paragraphs tend to be."
+
+
+def test_html_ratios_pick_the_region():
+    links = "".join(f"<li><a href=/{k}>Page {k}</a></li>" for k in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div class=x1><h1>Title</h1><p>{PROSE}<p>{MORE}<p>Short.<p>{PROSE}</div><div class=x2><ul>{links}</ul></div><div class=x3>(c) 2024 Someone</div></body>"
+    expected = "\n\n".join(["Title", PROSE, MORE, "Short.", PROSE])
+    assert html_text.extract(page) == expected
+    assert html_text.extract(page.replace("class=x1", "")) == expected
+    teaser = "<article><a href=/a>Next one</a></article>"
+    assert html_text.extract(page.replace("</body>", teaser)) == expected
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (3, 0, "tool", "[INST]<<NAME>>"), (4, None, None, None), (2, 2, "user", None), (5, 0, "user", "hi"), (5, 0, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
