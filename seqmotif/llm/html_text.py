@@ -7,10 +7,10 @@ notices, adverts, forms, scripts, styles, hidden parts and reader comments
 (by element, role, class or id) are set aside. The text-to-tag ratio of the
 lines that are left is smoothed with a Gaussian kernel; lines over the
 threshold (a share of the spread, so that it scales with the page) form
-clusters. The article or main element with the most clustered text is the
-content region, and all its lines are returned, short ones too. Without such an
-element, or if most of the clustered text stands outside of them, the clusters
-are the region: their edges are cut back to lines over the threshold and then
+clusters. Article and main elements with clustered text are the content region,
+and all their lines are returned in page order, short ones too; one inside
+another is part of it. Without such an element, or if most of the clustered text
+stands outside of them, the clusters are the region with them: their edges are cut back to lines over the threshold and then
 grown over neighbours in the same block; what lies between two clusters belongs
 to them unless it has lists of links.
 
@@ -94,7 +94,7 @@ class Lines(HTMLParser):
             return
         aside, container, block = self.state()
         now = aside or noisy(tag, attrs)
-        if not now and tag in CONTENT and (tag == "article" or not container):
+        if not now and tag in CONTENT and not container:
             self.containers += 1
             container = self.containers
         if tag in BLOCKS or now != aside or now and tag in ("div", "span") or tag == "a":
@@ -175,10 +175,9 @@ def extract(html: str, share: float = 0.3) -> str:
     least = share * ratios.std()
     chosen = ratios >= least
     weight = np.bincount(region, np.where(chosen, letters, 0))
-    if weight[1:].sum() > weight[0]:
-        inside = region == weight[1:].argmax() + 1
-    else:
-        inside = clustered(chosen, own >= least, 2 * linked > sizes, blocks)
+    inside = (region > 0) & (weight[region] > 0)
+    if weight[1:].sum() <= weight[0]:
+        inside |= clustered(chosen, own >= least, 2 * linked > sizes, blocks)
     return "\n\n".join(t for (t, *_), keep in zip(lines, inside) if keep)
 
 

@@ -256,6 +256,18 @@ def test_html_ratios_pick_the_region():
     assert html_text.extract(page.replace("</body>", teaser)) == expected
 
 
+@pytest.mark.parametrize(
+    ("html", "lines"),
+    [
+        (f"<main><h1>T</h1><p>{PROSE}</p><article><p>{MORE}</p></article></main>", ["T", PROSE, MORE]),
+        (f"<article><p>{PROSE}</p><article><p>{MORE}</p></article><p>End.</p></article>", [PROSE, MORE, "End."]),
+        (f"<article><p>{PROSE}</p></article><nav>x</nav><article><p>{MORE}</p><p>{PROSE}</p></article><article><p>{MORE}</p></article>", [PROSE, MORE, PROSE, MORE]),
+    ],
+)
+def test_html_containers(html, lines):
+    assert html_text.extract(html) == "\n\n".join(lines)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (3, 0, "tool", "[INST]<<NAME>>"), (4, None, None, None), (2, 2, "user", None), (5, 0, "user", "hi"), (5, 0, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
