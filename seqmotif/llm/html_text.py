@@ -4,7 +4,9 @@ The standard library's streaming parser yields events; they make lines (the
 text between two block-level boundaries), each with its letters, its tags and
 the containers it stands in. Lines inside menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, hidden parts and reader comments
-(by element, role, class or id) are set aside. The text-to-tag ratio of the
+(by element, role, class or id) are set aside. A class or id of which only a
+part says so sets no article or main element aside, nor a block that holds most of the
+page's text over the threshold. The text-to-tag ratio of the
 lines that are left is smoothed with a Gaussian kernel; lines over the
 threshold (a share of the spread, so that it scales with the page) form
 clusters. Article and main elements with clustered text are the content region,
@@ -38,39 +40,59 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("head nav header footer aside form script style noscript template iframe object svg math canvas button select textarea dialog menu title search audio video".split())
 #: Words of class, id or role that mark what is not main text.
 NOISE = frozenset("ad ads adv advert advertisement advertisements adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer contentinfo sidebar complementary aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall search form pagination pager skip hidden".split())
+#: Words that say where or how such a part is laid out; with one of NOISE they name the same part (site-header, ad-box).
+LAYOUT = frozenset("area bar block bottom box button buttons col column container entry global inner item items left link links list mobile outer page panel post primary right secondary section site thread top wrap wrapper".split())
 CONTENT = ("article", "main")
+#: Elements whose end tag may be missing: which open ones a start tag ends, and which keep it from looking further out.
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
+ENDS |= {t: ({"td", "th"}, {"table", "tr"}) for t in ("td", "th")} | {t: ({"tr", "td", "th"}, {"table"}) for t in ("tr", "tbody", "thead", "tfoot")}
 #: Blocks inside which a line still counts to the block around them.
 INNER = frozenset("blockquote caption center dd details dir dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre summary table tbody td tfoot th thead tr ul".split())
 
 
-def noisy(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Does this element hold something other than main text?"""
+def named(token: str) -> int:
+    """Does a token of class, id or role name what is not main text? 2: by all of its words; 1: by some beside words of layout; 0: no, as with-sidebar or related-work."""
+    words = {w.rstrip("0123456789") for w in token.replace("_", "-").split("-")} - {""}
+    return 0 if NOISE.isdisjoint(words) or not words <= NOISE | LAYOUT else 2 if words <= NOISE else 1
+
+
+def noisy(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """Does this element hold something other than main text? 2: yes; 1: part of its class, id or role says so."""
     if tag in ASIDE:
-        return True
+        return 2
+    level = 0
     for name, value in attrs:
         if name in ("class", "id", "role") and tag not in ("html", "body"):
-            words = (value or "").lower().replace("-", " ").replace("_", " ").split()
-            if not NOISE.isdisjoint(words):
-                return True
+            found = [named(t) for t in (value or "").lower().split()]
+            level = max(level, min(found, default=0), int(any(found)))
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         elif name == "style" and "display:none" in (value or "").replace(" ", "").lower():
-            return True
-    return False
+            return 2
+    return 0 if level == 1 and tag in CONTENT else level
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, number of the content container, in link letters, number of the block)."""
+    """Collects lines: (text, tags, number of the content container, in link letters, number of the block, doubtful elements around it)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, tuple[int, ...]]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.containers = self.blocks = 0
-        self.open: list[tuple[str, bool, int, int]] = []  # element, set aside, content container, block
+        self.tags = self.linked = self.containers = self.blocks = self.doubts = 0
+        self.open: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # element, set aside, content container, block, doubtful elements
 
-    def state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, 0, 0)
+    def state(self) -> tuple[bool, int, int, tuple[int, ...]]:
+        return self.open[-1][1:] if self.open else (False, 0, 0, ())
+
+    def close_implied(self, tag: str) -> None:
+        """End an open paragraph, item or cell that this start tag ends."""
+        for ends, scope in (({"p"}, BLOCKS), ENDS.get(tag, ((), BLOCKS))):
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] in ends:
+                    del self.open[k:]
+                elif self.open[k][0] in scope:
+                    break
 
     def count_tag(self) -> None:
         """What is set aside does not weigh on the lines around it."""
@@ -79,31 +101,36 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            aside, container, block = self.state()
+            aside, container, block, doubts = self.state()
             if text and not aside:
-                self.lines.append((text, self.tags, container, self.linked, block))
+                self.lines.append((text, self.tags, container, self.linked, block, doubts))
             self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
+            self.close_implied(tag)
         self.count_tag()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        aside, container, block = self.state()
-        now = aside or noisy(tag, attrs)
+        aside, container, block, doubts = self.state()
+        level = noisy(tag, attrs)
+        now, doubt = aside or level == 2, not aside and level == 1
+        if doubt:
+            self.doubts += 1
+            doubts = (*doubts, self.doubts)
         if not now and tag in CONTENT and not container:
             self.containers += 1
             container = self.containers
-        if tag in BLOCKS or now != aside or now and tag in ("div", "span") or tag == "a":
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not now:
+        if tag in BLOCKS or now != aside or doubt or now and tag in ("div", "span") or tag == "a":
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not now and not doubt:
                 return  # often left open; they bound lines and hold nothing else
             if tag in BLOCKS and tag not in INNER:
                 self.blocks += 1
                 block = self.blocks
-            self.open.append((tag, now, container, block))
+            self.open.append((tag, now, container, block, doubts))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -158,6 +185,28 @@ def clustered(chosen: np.ndarray, dense: np.ndarray, links: np.ndarray, blocks:
     return inside
 
 
+def dense_lines(lines: list[tuple], share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which lines are over the threshold, smoothed and by themselves, and their letters outside links."""
+    letters = np.array([max(0, len(t) - linked) for t, _, _, linked, *_ in lines], float)
+    own = letters / np.maximum(1, [x[1] for x in lines])
+    ratios = smooth(own)
+    least = share * ratios.std()
+    return ratios >= least, own >= least, letters
+
+
+def settled(lines: list[tuple], share: float) -> list[tuple]:
+    """The lines without those of doubtful elements; one that holds most of the text over the threshold is no longer in doubt."""
+    if not any(x[5] for x in lines):
+        return lines
+    chosen, _, letters = dense_lines(lines, share)
+    held: dict[int, float] = {}
+    for x, n in zip(lines, np.where(chosen, letters, 0)):
+        for d in x[5]:
+            held[d] = held.get(d, 0) + n
+    most = np.where(chosen, letters, 0).sum() / 2
+    return [x for x in lines if all(held[d] > most for d in x[5])]
+
+
 def extract(html: str, share: float = 0.3) -> str:
     """The main text of one page, its blocks joined by an empty line."""
     parser = Lines()
@@ -167,17 +216,15 @@ def extract(html: str, share: float = 0.3) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    tags, region, linked, blocks = (np.array(x) for x in list(zip(*lines))[1:])
-    sizes = np.array([len(t) for t, *_ in lines])
-    letters = np.maximum(sizes - linked, 0).astype(float)
-    own = letters / np.maximum(1, tags)
-    ratios = smooth(own)
-    least = share * ratios.std()
-    chosen = ratios >= least
+    lines = settled(lines, share)
+    if not lines:
+        return ""
+    chosen, dense, letters = dense_lines(lines, share)
+    region, linked, blocks = (np.array([x[k] for x in lines]) for k in (2, 3, 4))
     weight = np.bincount(region, np.where(chosen, letters, 0))
     inside = (region > 0) & (weight[region] > 0)
     if weight[1:].sum() <= weight[0]:
-        inside |= clustered(chosen, own >= least, 2 * linked > sizes, blocks)
+        inside |= clustered(chosen, dense, 2 * linked > [len(t) for t, *_ in lines], blocks)
     return "\n\n".join(t for (t, *_), keep in zip(lines, inside) if keep)
 
 

@@ -268,6 +268,24 @@ def test_html_containers(html, lines):
     assert html_text.extract(html) == "\n\n".join(lines)
 
 
+@pytest.mark.parametrize(
+    ("html", "lines"),
+    [
+        (f"<article><p class=notice>x<p>{PROSE}<p>{MORE}</article>", [PROSE, MORE]),
+        (f"<article><ul><li class=ad>x<li>{PROSE}<li>{MORE}</ul><dl><dt class=ad>x<dd>{PROSE}</dl><table><tr><td class=ad>x<td>{MORE}<tr class=ad><td>x<tr><td>{PROSE}</table></article>", [PROSE, MORE, PROSE, MORE, PROSE]),
+        (f"<article><ul><li class=ad>x<ul><li>y</ul>z<li>{PROSE}</ul></article>", [PROSE]),
+        (f"<div class='content with-sidebar'><p>{PROSE}</p></div>", [PROSE]),
+        (f"<article class='post comments-open'><p>{PROSE}</p></article>", [PROSE]),
+        (f"<article><p>{PROSE}</p><h2 id='related-work'>Work</h2><section id='social-history'><p>{MORE}</p></section></article>", [PROSE, "Work", MORE]),
+        (f"<div class='page header'><p>{PROSE}</p><div class='ad-box'>no</div><div class='big sidebar'>no</div></div>", [PROSE]),
+        (f"<div id='page-sidebar'><p>{PROSE}</p></div><div class='site-footer'>no</div>", [PROSE]),
+        (f"<article><p>{PROSE}</p><p>{MORE}</p><div class='big sidebar'>{MORE}</div></article>", [PROSE, MORE]),
+    ],
+)
+def test_html_set_aside(html, lines):
+    assert html_text.extract(html) == "\n\n".join(lines)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (3, 0, "tool", "[INST]<<NAME>>"), (4, None, None, None), (2, 2, "user", None), (5, 0, "user", "hi"), (5, 0, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
