@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def chained(found: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda acc: acc["out"])
 
 
-def chain(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Chain the first hits of all starts, per ``keys``; adds hit_ord from 0."""
-    grouped = candidates.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("_pairs"))
+def chain(candidates: DataFrame, keys: list[str], more: Sequence[str] = ()) -> DataFrame:
+    """Chain the first hits of all starts, per ``keys``; adds hit_ord from 0 and keeps the columns ``more``."""
+    grouped = candidates.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", *more)).alias("_pairs"))
     out = grouped.select(*keys, F.posexplode(chained(F.col("_pairs"))).alias("hit_ord", "_hit"))
-    return out.select(*keys, F.col("hit_ord").cast("long").alias("hit_ord"), F.col("_hit.start").cast("long").alias("start"), F.col("_hit.end").cast("long").alias("end"))
+    return out.select(*keys, F.col("hit_ord").cast("long").alias("hit_ord"), F.col("_hit.start").cast("long").alias("start"), F.col("_hit.end").cast("long").alias("end"), *[F.col("_hit")[c].alias(c) for c in more])

@@ -15,7 +15,7 @@ from seqmotif.operators.kernel import Matcher
 from seqmotif.pattern.parser import Pattern, lengths, parse
 from seqmotif.plans import windows
 from seqmotif.plans.regex import NotRegular, hits, to_regex
-from seqmotif.plans.seedjoin import candidates, seed
+from seqmotif.plans.seedjoin import candidates, seeds
 from seqmotif.session import ship
 
 #: A hit: 1-based closed place on the forward strand, its order within (record, pattern, strand), and the pieces of its units.
@@ -54,7 +54,7 @@ def strategy(pattern: Pattern, plain: bool = False, strict_n: bool = False, alig
             pass
     if plain and windows.fixed(pattern) is not None:
         return "windows"
-    if plain and seed(pattern) is not None:
+    if plain and seeds(pattern) is not None:
         return "seeds"
     return "kernel"
 
@@ -81,14 +81,16 @@ def _native(rows: DataFrame, pattern: Pattern, order: int, found: F.Column) -> D
 
 def _seeds(rows: DataFrame, pattern: Pattern, order: int) -> DataFrame:
     """HITS rows by a seed equi-join; each strand of a record is searched as a record."""
-    cut = seed(pattern)
+    cuts = seeds(pattern)
     named = rows.select(F.concat_ws(" ", F.col("seq_ord").cast("string"), "strand").alias("seq_id"), F.xxhash64("seq_ord", "strand").alias("seq_ord"), "seq")
-    kept = chain(candidates(named, pattern, cut), ["seq_id"])
+    kept = chain(candidates(named, cuts), ["seq_id"], ["combination"])
     joined = rows.withColumn("_id", F.concat_ws(" ", F.col("seq_ord").cast("string"), "strand")).join(kept.withColumnRenamed("seq_id", "_id"), "_id")
-    left, right = sum(n for *_, n in cut.left), sum(n for *_, n in cut.right)
-    span = F.col("end") - F.col("start") + 1
-    sizes = F.array(*[F.lit(n) for *_, n in cut.left], (span - left - right).cast("int"), *[F.lit(n) for *_, n in cut.right])
-    return _placed(joined.withColumn("_h", F.struct("start", "end", sizes.alias("sizes"))).drop("start", "end", "_id"), pattern, order)
+    span, sizes = F.col("end") - F.col("start") + 1, None
+    for k, cut in enumerate(cuts):
+        left, right = [F.lit(n) for *_, n in cut.left], [F.lit(n) for *_, n in cut.right]
+        these = F.array(*left, (span - sum(n for *_, n in [*cut.left, *cut.right])).cast("int"), *right)
+        sizes = F.when(F.col("combination") == k, these) if sizes is None else sizes.when(F.col("combination") == k, these)
+    return _placed(joined.withColumn("_h", F.struct("start", "end", sizes.alias("sizes"))).drop("start", "end", "combination", "_id"), pattern, order)
 
 
 def _windows(rows: DataFrame, pattern: Pattern, order: int) -> DataFrame:
@@ -267,10 +269,10 @@ def scan_long(seqs: DataFrame, pattern: str | Pattern, size: int = 1_000_000, st
 def scan_seeds(seqs: DataFrame, pattern: str | Pattern) -> DataFrame:
     """(seq_ord, seq_id, hit_ord, start, end): forward hits of a gapped-repeat pattern on plain bases, by a seed equi-join."""
     p = as_patterns(pattern, "dna")[0]
-    cut = seed(p)
-    if cut is None:
+    cuts = seeds(p)
+    if cuts is None:
         raise ValueError("this pattern has no captured word and gap for a seed join")
-    return chain(candidates(seqs, p, cut), ["seq_ord", "seq_id"])
+    return chain(candidates(seqs, cuts), ["seq_ord", "seq_id"])
 
 
 def running_hits(found: DataFrame) -> DataFrame:

@@ -1,15 +1,19 @@
 """Patterns with a wide gap between a captured word and its repeat, as a seed equi-join.
 
-``left units, a gap, right units`` where every other unit has one length: the
-captured letters before the gap are the join key on the left, their repeat or
-reverse complement behind the gap is the key on the right. The gap is a range
-condition on the joined rows, other units are filters. Of the joined rows the
-first hit of each start is the one with the shortest gap.
+``left units, a gap, right units`` where captures before the gap may vary in
+length: each combination of their lengths, in the order of choice, is a cut with
+fixed lengths. The captured letters before the gap are the join key on the left,
+their exact repeat or reverse complement behind the gap is the key on the right.
+The gap is a range condition on the joined rows; other units, and repeats that
+may differ in some letters, are filters. Of the joined rows the first hit of
+each start is the one of the first combination with the shortest gap.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from seqmotif.functions import letter_class, normal, revcomp
 from seqmotif.pattern.parser import Pattern, lengths
 from seqmotif.pattern.units import Unit
+from seqmotif.plans.windows import differences
 
 
 @dataclass
@@ -29,32 +34,59 @@ class Seed:
     pairs: list[tuple[Unit, Unit]]
 
 
-def seed(pattern: Pattern, widest: int = 64) -> Seed | None:
-    """The pattern's cut for a seed join, or None if it has no such form."""
-    gaps = [u for u in pattern.units if u.kind == "range" and u.low != max(u.low, u.high)]
-    if not pattern.dna or len(gaps) != 1 or gaps[0].name is not None or len(pattern.units) != len(pattern.flat):
+#: More combinations of lengths than these are no seed join.
+COMBINATIONS = 24
+
+
+def seeds(pattern: Pattern, widest: int = 64) -> list[Seed] | None:
+    """The pattern's cuts for a seed join, in the order of choice, or None if it has no such form."""
+    ranges = [u for u in pattern.units if u.kind == "range" and u.low != max(u.low, u.high)]
+    gaps = [u for u in ranges if u.name is None]
+    if not pattern.dna or len(gaps) != 1 or len(pattern.units) != len(pattern.flat):
         return None
     at = pattern.units.index(gaps[0])
+    varied = [u for u in ranges if u.name is not None]
+    if any(pattern.units.index(u) > at for u in varied):
+        return None
+    spans = [range(u.low, u.high + 1) for u in varied]
+    if len(list(product(*spans))) > COMBINATIONS:
+        return None
+    cuts = [_cut(pattern, at, {u.index: n for u, n in zip(varied, chosen)}, widest) for chosen in product(*spans)]
+    return None if None in cuts else cuts
+
+
+def _cut(pattern: Pattern, at: int, chosen: dict[int, int], widest: int) -> Seed | None:
+    """The cut at unit ``at`` with the chosen lengths of units (by their index)."""
     named: dict[int, tuple[int, int]] = {}
     sides: list[list[tuple[Unit, int, int]]] = [[], []]
     for side, units in enumerate((pattern.units[:at], pattern.units[at + 1 :])):
         offset = 0
         for u in units:
             low, high = lengths([u], named)
-            if low != high or not u.exact or u.kind not in ("word", "range", "repeat", "complement") or u.rule is not None:
+            if u.index in chosen:
+                low = high = chosen[u.index]
+                named[u.name] = (low, high)
+            same = u.exact or side and u.kind in ("repeat", "complement") and not u.err[1] and not u.err[2]
+            if low != high or not same or u.kind not in ("word", "range", "repeat", "complement") or u.rule is not None:
                 return None
             sides[side].append((u, offset, low))
             offset += low
-    left = {u.name: u for u, _, n in sides[0] if u.name is not None and u.kind == "range" and n}
+    left = {u.name: u for u, _, n in sides[0] if u.name is not None and u.kind in ("range", "word") and n}
     pairs = [(left[u.ref], u) for u, _, _ in sides[1] if u.kind in ("repeat", "complement") and u.ref in left]
     inner = [u for u, _, _ in [*sides[0], *sides[1]] if u.kind in ("repeat", "complement")]
-    if not pairs or len(inner) != len(pairs) or sum(n for _, _, n in sides[0]) > widest * 4:
+    if not any(b.exact for _, b in pairs) or len(inner) != len(pairs) or sum(n for _, _, n in sides[0]) > widest * 4:
         return None
-    return Seed(sides[0], sides[1], gaps[0], pairs)
+    return Seed(sides[0], sides[1], pattern.units[at], pairs)
+
+
+def candidates(seqs: DataFrame, cuts: list[Seed]) -> DataFrame:
+    """(seq_ord, seq_id, start, end, combination): the first hit of every start, for sequences of plain bases."""
+    found = reduce(DataFrame.unionByName, [_met(seqs, s, k) for k, s in enumerate(cuts)])
+    return found.groupBy("seq_ord", "seq_id", "start").agg(F.min(F.struct("combination", "end")).alias("_f")).select("seq_ord", "seq_id", "start", "_f.end", "_f.combination")
 
 
-def candidates(seqs: DataFrame, pattern: Pattern, s: Seed) -> DataFrame:
-    """(seq_ord, seq_id, start, end): the first hit of every start, for sequences of plain bases."""
+def _met(seqs: DataFrame, s: Seed, number: int) -> DataFrame:
+    """(seq_ord, seq_id, start, end, combination): all hits of one cut."""
     rows = seqs.select("seq_ord", "seq_id", normal("seq").alias("_s"))
 
     def windows(side: list[tuple[Unit, int, int]], name: str) -> tuple[DataFrame, int]:
@@ -73,10 +105,14 @@ def candidates(seqs: DataFrame, pattern: Pattern, s: Seed) -> DataFrame:
 
     left, left_size = windows(s.left, "start")
     right, right_size = windows(s.right, "at")
-    key = F.concat(*[piece(s.left, a) for a, _ in s.pairs])
-    other = F.concat(*[revcomp(piece(s.right, b)) if b.kind == "complement" else piece(s.right, b) for _, b in s.pairs])
-    left = left.select("seq_ord", "seq_id", "start", key.alias("key"))
-    right = right.select(F.col("seq_ord").alias("_o"), "at", other.alias("_k"))
+    back = lambda b: revcomp(piece(s.right, b)) if b.kind == "complement" else piece(s.right, b)
+    key = F.concat(*[piece(s.left, a) for a, b in s.pairs if b.exact])
+    other = F.concat(*[back(b) for _, b in s.pairs if b.exact])
+    near = [(a, b) for a, b in s.pairs if not b.exact]
+    left = left.select("seq_ord", "seq_id", "start", key.alias("key"), *[piece(s.left, a).alias(f"_a{k}") for k, (a, _) in enumerate(near)])
+    right = right.select(F.col("seq_ord").alias("_o"), "at", other.alias("_k"), *[back(b).alias(f"_b{k}") for k, (_, b) in enumerate(near)])
     gap = F.col("at") - F.col("start") - left_size
     met = left.join(right, (F.col("seq_ord") == F.col("_o")) & (F.col("key") == F.col("_k")) & gap.between(s.gap.low, s.gap.high))
-    return met.groupBy("seq_ord", "seq_id", "start").agg((F.min("at") + right_size - 1).alias("end"))
+    for k, (a, b) in enumerate(near):
+        met = met.where(differences(F.col(f"_a{k}"), F.col(f"_b{k}"), next(n for u, _, n in s.left if u is a)) <= b.err[0])
+    return met.select("seq_ord", "seq_id", "start", (F.col("at") + right_size - 1).alias("end"), F.lit(number).alias("combination"))

@@ -355,5 +355,5 @@ def pattern_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("catalog_scan")
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.scan(sequences(spark, sf_dir), [r[2] for r in catalog.ELEMENTS if scan.strategy(parse(r[2]), True) == "seeds"], plain=True, both_strands=True)
+    found = scan.scan(sequences(spark, sf_dir), [r[2] for r in catalog.ELEMENTS], plain=True, both_strands=True)
     return found.groupBy("pat_ord", "strand").agg(F.count("*").alias("n"), F.min("start").alias("least"), F.max("end").alias("most"))

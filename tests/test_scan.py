@@ -8,9 +8,11 @@ import pytest
 
 from seqmotif import queries
 from seqmotif.operators import features, merge
+from seqmotif.operators.kernel import Matcher
 from seqmotif.operators.scan import MissLimit, check_misses, scan, scan_long, strategy
 from seqmotif.pattern import parse
-from seqmotif.sources import fasta, matrix
+from seqmotif.pattern.units import IUPAC, reverse_complement
+from seqmotif.sources import catalog, fasta, matrix
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +38,52 @@ def test_pieces_do_not_change_hits(seqs, size):
     assert sorted(map(tuple, whole)) == sorted((r.seq_ord, r.start, r.end) for r in scan_long(seqs, pattern, size).collect())
 
 
+def planted(pattern, rng):
+    """Letters that the pattern finds, with the least gap and each capture at its greatest length."""
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    made, out = {}, []
+    for u in parse(pattern).units:
+        if u.kind == "word":
+            text = "".join(rng.choice(IUPAC[c]) for c in u.letters)
+        elif u.kind == "range":
+            text = word(u.high if u.name is not None else u.low)
+        else:
+            text = made[u.ref] if u.kind == "repeat" else reverse_complement(made[u.ref])
+            for k in range(u.err[0]):
+                text = text[:k] + {"A": "C", "C": "G", "G": "T", "T": "A"}[text[k]] + text[k + 1 :]
+        if u.name is not None:
+            made[u.name] = text
+        out.append(text)
+    return "".join(out)
+
+
+def test_catalog_scan_has_every_pattern(spark, tmp_path):
+    rng = random.Random(8)
+    patterns = [r[2] for r in catalog.ELEMENTS]
+    small = [p for p in patterns if max(u.low for u in parse(p).flat) < 500]
+    docs = [(k, planted(p, rng)) for k, p in enumerate(small)] + [(90, reverse_complement(planted(small[5], rng))), (91, None), (92, "ACGT")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = {}
+    for order, p in enumerate(patterns):
+        matcher = Matcher(parse(p))
+        for _, s in docs:
+            for strand in "+-":
+                t = s or ""
+                for a, b, _ in matcher.hits(t if strand == "+" else reverse_complement(t)):
+                    x, y = (a + 1, b) if strand == "+" else (len(t) - b + 1, len(t) - a)
+                    n, least, most = expected.get((order, strand), (0, x, y))
+                    expected[order, strand] = (n + 1, min(least, x), max(most, y))
+    got = {(r.pat_ord, r.strand): (r.n, r.least, r.most) for r in queries.catalog_scan(spark, str(tmp_path)).collect()}
+    assert got == expected and {patterns.index(p) for p in small} <= {order for order, _ in got}
+
+
+@pytest.mark.parametrize("pattern", ["p1=3...4 p2=5...7 20...300 ~p2 p1", "p1=TWA p2=2...2 20...300 ~p2 p1", "p1=3...3 p3=S p2=3...3 20...300 ~p2 ~p3 p1", "p1=3...3 A p2=5...5 20...300 ~p2[1,0,0] T p1"])
+def test_seeds_agree_with_the_kernel(seqs, pattern):
+    assert strategy(parse(pattern), plain=True) == "seeds"
+    fast = scan(seqs, pattern, plain=True, both_strands=True).collect()
+    assert fast and sorted(map(str, fast)) == sorted(map(str, scan(seqs, pattern, engine="kernel", both_strands=True).collect()))
+
+
 def test_limits_and_ids(spark):
     df = spark.createDataFrame([(0, "x", "AAAAA"), (1, "y", "A"), (2, "z", "CC")], "seq_ord long, seq_id string, seq string")
     assert [(r.seq_id, r.start) for r in scan(df, "A", max_hits=2).collect()] == [("x", 1), ("x", 2)]
