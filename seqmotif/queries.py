@@ -175,6 +175,14 @@ def multi_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(sequences(spark, sf_dir), WORDS, plain=True).where("pat_ord <> 1").select("seq_ord", "pat_ord", "start", "end")
 
 
+CHAINED = 'seq_ord, {} AS pat_ord, CAST(h.start AS BIGINT) AS start, CAST(h."end" AS BIGINT) AS "end"'
+
+
+@add("multi_pattern_chain", " UNION ALL ".join(f"SELECT * FROM ({chain_sql(fixed_sql(f"{at(len(w))} = '{w}'", len(w)), columns=CHAINED.format(k))})" for k, w in enumerate(WORDS)))
+def multi_pattern_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.scan(sequences(spark, sf_dir), WORDS, plain=True).select("seq_ord", "pat_ord", "start", "end")
+
+
 HITS_SQL = f"""{base_sql()}, h AS (SELECT seq_ord, i, CAST(row_number() OVER (ORDER BY seq_ord, i) AS BIGINT) AS n FROM p WHERE substr(s, i, 5) = 'TATAA')"""
 
 

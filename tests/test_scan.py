@@ -158,6 +158,24 @@ def test_oracle(spark, name):
     assert sorted(map(repr, result.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
 
 
+def agrees(spark, name, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet{'/*.parquet' if sf != SF else ''}')")
+    df = queries.QUERIES[name](spark, sf)
+    result = con.execute(queries.SQL[name])
+    columns = [c[0] for c in result.description]
+    rows = [tuple(r[c] for c in columns) for r in df.collect()]
+    assert sorted(columns) == sorted(df.columns) and sorted(map(repr, result.fetchall())) == sorted(map(repr, rows))
+    return rows
+
+
+def test_multi_pattern_keeps_chained_hits_of_each(spark, tmp_path):
+    docs = [(1, "GCAGCAGCAGCTATAA"), (2, "ACGGTACGGTA"), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(agrees(spark, "multi_pattern_chain", str(tmp_path))) == [(1, 0, 12, 16), (1, 1, 1, 5), (1, 1, 7, 11), (2, 2, 1, 6)]
+    agrees(spark, "multi_pattern_chain", SF)
+
+
 def test_entry_is_complete():
     import __spark_entry__ as entry
 
