@@ -346,6 +346,13 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT seq_ord, revcomp(substr(seq, 1, 20)) AS rc, iupac_match(substr(seq, 1, 3), 'RYN') AS fits FROM motif_sequences")
 
 
+@add("sql_functions_whole", f"""WITH {base_sql()} SELECT seq_ord, CAST(i AS BIGINT) AS start, CASE WHEN i = 1 THEN {revcomp_sql('s')} END AS rc, regexp_full_match(substr(s, i, 3), '[AG][CT][ACGT]') AS fits FROM (SELECT seq_ord, s, unnest(range(1, greatest(length(s) - 2, 1) + 1)) AS i FROM s)""")
+def sql_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions.register(spark)
+    sequences(spark, sf_dir).createOrReplaceTempView("motif_sequences")
+    return spark.sql("SELECT seq_ord, CAST(coalesce(at, 0) + 1 AS BIGINT) AS start, CASE WHEN coalesce(at, 0) = 0 THEN revcomp(seq) END AS rc, coalesce(iupac_match(w, 'RYN'), false) AS fits FROM motif_sequences LATERAL VIEW OUTER posexplode(regexp_extract_all(seq, '(?s)(?=(.{3}))', 1)) x AS at, w")
+
+
 @add("lint_report")
 def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.lint_frame(spark, [(r[0], r[2]) for r in catalog.ELEMENTS] + [("labelled", LABELLED)], both_strands=True)

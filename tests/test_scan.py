@@ -176,6 +176,15 @@ def test_multi_pattern_keeps_chained_hits_of_each(spark, tmp_path):
     agrees(spark, "multi_pattern_chain", SF)
 
 
+def test_sql_functions_see_whole_sequences(spark, tmp_path):
+    docs = [(1, "A" * 30 + "GTC"), (2, "AC"), (3, None), (4, "GCA")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = agrees(spark, "sql_functions_whole", str(tmp_path))
+    assert {r[0]: r[2] for r in rows if r[1] == 1} == {1: "GAC" + "T" * 30, 2: "GT", 3: "", 4: "TGC"}
+    assert {r[:2] for r in rows if r[3]} == {(1, 31), (4, 1)} and len(rows) == 31 + 3
+    agrees(spark, "sql_functions_whole", SF)
+
+
 def test_entry_is_complete():
     import __spark_entry__ as entry
 
