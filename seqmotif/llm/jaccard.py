@@ -172,8 +172,13 @@ def candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
 
 
-def candidate_edges(sets: DataFrame, spark: SparkSession) -> DataFrame:
-    """Candidate links among distinct sets, over all levels of the recursion."""
+def least_agreement(similarity: float, deviations: float = 5.3) -> int:
+    """Min-hashes that a pair at the threshold agrees in but for that many standard deviations: 34 of 64 at 0.8."""
+    return max(0, math.floor(SKETCH * similarity - deviations * math.sqrt(SKETCH * similarity * (1 - similarity))))
+
+
+def candidate_edges(sets: DataFrame, spark: SparkSession, least: int) -> DataFrame:
+    """Candidate links among distinct sets that agree in ``least`` min-hashes, over all levels of the recursion."""
     edges = None
     rows = sets.select(F.explode("p1").alias("path"), "set_id")
     for level in range(1, DEPTH + 1):
@@ -187,7 +192,6 @@ def candidate_edges(sets: DataFrame, spark: SparkSession) -> DataFrame:
         else:
             dealt = ready.withColumns({"ba": F.lit(0).cast("long"), "bb": F.lit(0).cast("long")})
         dealt = dealt.select("path", "ba", "bb", "set_id", "sketch")
-        least = SKETCH * 34 // 64
         found = dealt.repartition("path", "ba", "bb").sortWithinPartitions("path", "ba", "bb", "set_id").mapInArrow(lambda b: candidates(b, least), "a long, b long").distinct()
         edges = found if edges is None else edges.unionByName(found)
         if level < DEPTH:
@@ -246,7 +250,7 @@ def join(documents: DataFrame, similarity: tuple[int, int] = (4, 5), recall: flo
     groups = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("uid").alias("set_id"), F.count("*").alias("weight"), F.min(order).alias("least"))
     groups = stored(groups, spark)
     sets = stored(signed.join(groups.select("set_id"), signed["uid"] == F.col("set_id")).select("set_id", "doc_id", "text_key", "p1", "p2", "p3", "sketch"), spark)
-    near = components(candidate_edges(sets, spark), spark, stored)
+    near = components(candidate_edges(sets, spark, least_agreement(similarity[0] / similarity[1])), spark, stored)
     members = sets.select("set_id", "doc_id", "text_key").join(near.withColumnRenamed("id", "set_id"), "set_id").join(groups.select("set_id", "weight"), "set_id")
     read = documents.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
     whole = read.join(members, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("component", "set_id", "weight", "text").dropDuplicates(["set_id"])

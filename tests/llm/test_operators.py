@@ -182,6 +182,20 @@ def test_jaccard_against_brute_force(spark, docs):
     assert jaccard.repeats(0.999) == 15
 
 
+def test_jaccard_at_a_lower_similarity(spark):
+    assert jaccard.least_agreement(0.8) == 34 and jaccard.least_agreement(0.5) < 16
+    rng = random.Random(7)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        rows.append((2 * k, " ".join(base)))
+        rows.append((2 * k + 1, " ".join([*base[:82], *(f"v{rng.randrange(10**6)}" for _ in range(38))])))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    links = {(a, b) for a in sets for b in sets if a != b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    got = {r.doc_id: r.n_links for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), (1, 2)).collect()}
+    assert len(links) == 120 and got == {k: sum(a == k for a, _ in links) for k in sets}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(k, [float(x) for x in rng.standard_normal(16)], 1) for k in range(300)]
