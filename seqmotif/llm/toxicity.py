@@ -124,7 +124,7 @@ class Decoder:
                         state, total = (a, b), cost + channel
                     if state not in fresh or total < fresh[state][0]:
                         fresh[state] = (total, read + c)
-            best = dict(sorted(fresh.items(), key=lambda x: x[1][0])[:24])
+            best = fresh
         return min((cost + self.costs[a][b][0], read) for (a, b), (cost, read) in best.items())[1]
 
     def twice(self, token: str) -> str:

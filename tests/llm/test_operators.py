@@ -104,6 +104,34 @@ def test_viterbi_is_exact_on_small_lattices(spark):
         assert decoder.twice(token) == decoder.decode(token)
 
 
+def test_viterbi_is_exact_with_many_states():
+    decoder = toxicity.Decoder(np.random.default_rng(2).random((28, 28, 28)) * 12 + 0.1)
+    token = "70143483|88$"
+    best, most = {(0, 0): 0.0}, 0
+    for step in decoder.lattice(token):
+        fresh = {}
+        for (a, b), cost in best.items():
+            for c, channel in step:
+                s = toxicity.symbol(c)
+                state, total = ((b, s), cost + channel + decoder.costs[a][b][s]) if c else ((a, b), cost + channel)
+                fresh[state] = min(total, fresh.get(state, total))
+        best, most = fresh, max(most, len(fresh))
+    least = min(cost + decoder.costs[a][b][0] for (a, b), cost in best.items())
+    read = decoder.decode(token)
+    spelled = {(0, 0, ""): 0.0}
+    for step in decoder.lattice(token):
+        fresh = {}
+        for (a, b, text), cost in spelled.items():
+            for c, channel in step:
+                s = toxicity.symbol(c)
+                state, total = ((b, s, text + c), cost + channel + decoder.costs[a][b][s]) if c else ((a, b, text), cost + channel)
+                if read.startswith(state[2]):
+                    fresh[state] = min(total, fresh.get(state, total))
+        spelled = fresh
+    cost = min(cost + decoder.costs[a][b][0] for (a, b, text), cost in spelled.items() if text == read)
+    assert most > 24 and abs(cost - least) < 1e-9
+
+
 def test_packing(spark, docs):
     rows = packing.query(spark, docs).collect()
     tokenizer = packing.tokens(packing.tokenizer_path()).tokenizer
