@@ -54,9 +54,30 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def with_score(schema: StructType) -> StructType:
-    """The schema with a last column ``score``."""
-    return StructType([*schema.fields, StructField("score", DoubleType())])
+def portions(texts: list[str], letters: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of whole texts of about so many letters each; a longer text is a run by itself."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= letters:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def fresh(columns: list[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def with_score(schema: StructType, column: str = "score") -> StructType:
+    """The schema with a last column for scores."""
+    return StructType([*schema.fields, StructField(column, DoubleType())])
 
 
 def components(edges: DataFrame, spark: SparkSession, store) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmotif.llm.common import Memo, block_pairs, components, forest, texts, whole_groups
+from seqmotif.llm.common import Memo, block_pairs, components, forest, fresh, texts, whole_groups
 from seqmotif.session import ship, stored
 
 WORDS, LIMIT, DEPTH, SKETCH, BUCKET_BLOCK, SET_BLOCK = 5, 64, 3, 64, 500, 200
@@ -270,11 +270,12 @@ def join(documents: DataFrame, similarity: tuple[int, int] = (4, 5), recall: flo
 
 
 def deduplicate(documents: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.999) -> DataFrame:
-    """``documents`` with one document of each class, all columns; rows that repeat both doc_id and text count as one."""
-    kept = join(documents, similarity, recall).where("first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_kept")).distinct()
-    keyed = documents.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept"))
-    return keyed.join(kept, own, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*documents.columns)
+    """``documents`` with one document of each class, all columns whatever their names; rows that repeat both doc_id and text count as one."""
+    own, key, kept_id, kept_key = (fresh([*documents.columns], stem) for stem in ("own_id", "own_key", "kept_id", "kept_key"))
+    kept = join(documents, similarity, recall).where("first").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).distinct()
+    keyed = documents.withColumns({own: F.col("doc_id").cast("long"), key: F.xxhash64(F.coalesce("text", F.lit("")))})
+    same = F.col(own).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([own, key]).drop(own, key)
 
 
 def query(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ Nulls and empty texts score the bias alone. A pair of equal adjacent words
 shares one row whatever the word is, so that repetition is learned as such.
 Rows are scored one by one: repeated rows, nulls in other columns and extra
 columns change nothing. A table without labels of both classes gives the share
-of label 1 (0.5 without labels) as every score.
+of label 1, moved by a thousandth towards 0.5 (0.5 without labels), as every
+score.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmotif.llm.common import CACHE_WORDS, held_out, labelled_texts, texts, with_score
+from seqmotif.llm.common import CACHE_WORDS, fresh, held_out, labelled_texts, portions, texts, with_score
 from seqmotif.session import ship
 
 #: Hashed rows; the last one stands for a repeated word.
@@ -97,19 +98,6 @@ class Words:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -500, 500)))
 
 
-def portions(texts: list[str], letters: int = 1_000_000) -> Iterator[list[str]]:
-    """Runs of whole texts of about so many letters each; a longer text is a run by itself."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= letters:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(y, ids, shares): a labelled text's rows and each row's share of all its features."""
     known = Words(None)
@@ -169,20 +157,20 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_rows: int = 2000) ->
     return train(sample)
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All rows and columns of ``documents`` with ``score``, the probability of label 1 for the whole text."""
+def score(documents: DataFrame, model: tuple[np.ndarray, float], column: str = "score") -> DataFrame:
+    """All rows and columns of ``documents`` with ``column`` (added or replaced), the probability of label 1 for the whole text."""
     spark = documents.sparkSession
     ship(spark)
-    shared, base = spark.sparkContext.broadcast(model), documents.drop("score")
+    shared, base = spark.sparkContext.broadcast(model), documents.drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         known = Words(weights)
         for batch in batches:
             scores = np.concatenate([np.zeros(0), *(known.probabilities(run, bias) for run in portions(texts(batch)))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return base.mapInArrow(run, with_score(base.schema))
+    return base.mapInArrow(run, with_score(base.schema, column))
 
 
 def classify(documents: DataFrame, labels: DataFrame, max_train_rows: int = 2000, threshold: float = 0.3) -> DataFrame:
@@ -191,6 +179,12 @@ def classify(documents: DataFrame, labels: DataFrame, max_train_rows: int = 2000
     return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
 
 
+def keep(documents: DataFrame, labels: DataFrame, max_train_rows: int = 2000, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``documents`` that score ``threshold`` or more, with all their own columns whatever the names."""
+    column = fresh(documents.columns, "score")
+    return score(documents, fit(documents, labels, max_train_rows), column).where(F.col(column) >= threshold).drop(column)
+
+
 def query(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     return classify(documents.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")

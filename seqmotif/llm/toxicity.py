@@ -8,23 +8,27 @@
    nothing for a separator or a repeated letter. Single characters that are
    spaced out (``i d i o t``) form one lattice, whose spaces may be dropped or
    kept. Viterbi decoding finds the reading with the least channel cost and
-   language-model cost. A token of plain letters without a repeated letter
-   has a lattice with one path and reads as itself.
+   language-model cost; all states are kept, so it is exact. A token of plain
+   letters without a repeated letter has a lattice with one path and reads as
+   itself; so does a number (digits with what stands in dates, times, amounts
+   and shares). Any other token is decoded, with letters or without.
 3. A logistic model with an L1 penalty over the restored words and their
    first 4 and 5 letters (hashed), learned on a bounded sample of labelled rows.
 
 A document's logit is the bias plus the sum over its distinct tokens, so any
 length of text is scored whole. Nulls and empty texts score the bias alone;
 repeated rows and other columns change nothing. Without labels of both
-classes every score is the share of label 1 (0.5 without labels). An empty
-corpus gives the uniform language model.
+classes every score is the share of label 1, moved by a thousandth towards 0.5
+(0.5 without labels). An empty corpus gives the uniform language model.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmotif.llm.common import Memo, held_out, labelled_texts, texts, with_score
+from seqmotif.llm.common import Memo, fresh, held_out, labelled_texts, portions, texts, with_score
 from seqmotif.session import ship
 
 BUCKETS = 1 << 18
-#: Symbols of the language model: 0 for whatever bounds a word, 1-26 the letters, 27 any byte of a non-ASCII letter.
+#: Symbols of the language model, one a character: 0 for whatever bounds a word, 1-26 the letters, 27 any other letter.
 ALPHABET = 28
 OTHER = 27
 #: What a digit or sign may stand for.
@@ -46,25 +50,32 @@ LOOK, UNREAD, DROP, AGAIN, MORE, JOIN, KEEP = 0.7, 3.0, 0.5, 4.5, 0.2, 0.1, 1.5
 #: What may stand around a token and reads as nothing; exclamation marks only behind it.
 EDGES = ".,;:?\"'()[]{}<>*#%&-_~=/\\^`"
 ENDS = EDGES + "!"
+#: A number reads as itself.
+NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/%°x+-]*[€£]?")
 SPACED, SINGLES = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)"), re.compile(r"\s\S\s\S\s")
 TWICE, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 
 
-def byte_classes() -> np.ndarray:
-    """The language model's symbol of each UTF-8 byte."""
-    classes = np.zeros(256, np.int64)
+def symbol(char: str) -> int:
+    """The language model's symbol of a character in lower case, 0 if it is no letter."""
+    return ord(char) - 96 if "a" <= char <= "z" else OTHER if char.isalpha() else 0
+
+
+@cache
+def symbols() -> np.ndarray:
+    """The symbol of every code point, upper case read as lower."""
+    table = np.fromiter((OTHER if chr(k).isalpha() else 0 for k in range(sys.maxunicode + 1)), np.int64, sys.maxunicode + 1)
     for k in range(26):
-        classes[97 + k] = classes[65 + k] = k + 1
-    classes[128:] = OTHER
-    return classes
+        table[97 + k] = table[65 + k] = k + 1
+    return table
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n) of all texts of a task, each text bounded by two blanks."""
-    classes, counts = byte_classes(), np.zeros(ALPHABET**3, np.int64)
+    table, counts = symbols(), np.zeros(ALPHABET**3, np.int64)
     for batch in batches:
-        for text in texts(batch):
-            codes = classes[np.frombuffer(f"  {text}  ".encode("utf-8", "surrogatepass"), np.uint8)]
+        for run in portions(texts(batch)):
+            codes = table[np.frombuffer(("  " + "  ".join(run) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)]
             counts += np.bincount((codes[:-2] * ALPHABET + codes[1:-1]) * ALPHABET + codes[2:], minlength=ALPHABET**3)
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["gram", "n"])
@@ -83,11 +94,6 @@ def language_model(documents: DataFrame) -> np.ndarray:
     return -np.log((tri + 20 * p2[None]) / (tri.sum(2, keepdims=True) + 20))
 
 
-def symbol(char: str) -> int:
-    """The language model's symbol of a lower-case character, 0 if it is no letter."""
-    return ord(char) - 96 if "a" <= char <= "z" else OTHER if char.isalpha() else 0
-
-
 class Decoder:
     """Viterbi decoding of noisy tokens under the language model."""
 
@@ -146,7 +152,7 @@ class Decoder:
         core = token.lower().strip(EDGES).rstrip(ENDS)
         if core.isalpha():
             return core if not TWICE.search(core) else self.twice(core) if not THRICE.search(core) else self.decode(core)
-        return self.decode(core) if any(map(str.isalpha, core)) else core
+        return core if not core or NUMBER.fullmatch(core) else self.decode(core)
 
 
 def tokens(text: str) -> list[str]:
@@ -256,12 +262,12 @@ def fit(documents: DataFrame, labels: DataFrame, costs: np.ndarray, max_train_ro
     return learn([(y, np.sort(np.frombuffer(r, np.int32))) for y, r in sorted(zip(got["y"], got["rows"]))])
 
 
-def score(documents: DataFrame, costs: np.ndarray, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All rows and columns of ``documents`` with ``score``, the probability of label 1 for the whole restored text."""
+def score(documents: DataFrame, costs: np.ndarray, model: tuple[np.ndarray, float], column: str = "score") -> DataFrame:
+    """All rows and columns of ``documents`` with ``column`` (added or replaced), the probability of label 1 for the whole restored text."""
     spark = documents.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((costs, model))
-    base = documents.drop("score")
+    base = documents.drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs, (weights, bias) = shared.value
@@ -269,9 +275,9 @@ def score(documents: DataFrame, costs: np.ndarray, model: tuple[np.ndarray, floa
         for batch in batches:
             logits = np.array([known.logit(t, bias) for t in texts(batch)])
             scores = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return base.mapInArrow(run, with_score(base.schema))
+    return base.mapInArrow(run, with_score(base.schema, column))
 
 
 def classify(documents: DataFrame, labels: DataFrame, max_train_rows: int = 3000, threshold: float = 0.5) -> DataFrame:
@@ -281,6 +287,13 @@ def classify(documents: DataFrame, labels: DataFrame, max_train_rows: int = 3000
     return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
 
 
+def keep(documents: DataFrame, labels: DataFrame, max_train_rows: int = 3000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that score less than ``threshold``, with all their own columns whatever the names."""
+    costs, column = language_model(documents), fresh(documents.columns, "score")
+    scored = score(documents, costs, fit(documents, labels, costs, max_train_rows), column)
+    return scored.where(F.col(column) < threshold).drop(column)
+
+
 def query(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     return classify(documents.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
