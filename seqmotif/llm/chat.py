@@ -100,7 +100,7 @@ def emit(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatc
     ``near`` the places and lengths of the others; ``position`` counts the
     tokens of the near ones.
     """
-    coder, part = tokens(path), TaskContext.get().partitionId()
+    coder, part = tokens(path, plainly=True), TaskContext.get().partitionId()
     place = number = 0
     stack: list[tuple[bytes, int, int]] = []
     for whole in batches:
@@ -166,7 +166,7 @@ def read_back(turns: DataFrame, nodes: DataFrame, path: str | None = None) -> Da
     kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = tokens(path or tokenizer_path()).tokenizer
+        decoder = tokens(path or tokenizer_path(), plainly=True).tokenizer
         names = [f.split()[0] for f in kinds.split(", ")]
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 

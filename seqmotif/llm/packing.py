@@ -4,15 +4,23 @@
    documents longer than a sequence are cut into pieces. Only (doc_id, piece,
    start, length, checksum) is kept, as a stored table.
 2. The driver sees the histogram of lengths alone: ``capacity`` numbers at most.
-   The configuration LP (how many sequences of which multiset of lengths) is
-   solved by multiplicative weights: prices of lengths fall exponentially as
-   they are covered, and the best configuration under the prices comes from an
-   unbounded-knapsack dynamic program. The fractional solution is rounded down,
-   and of the rounded configurations those that leave no room are taken; what
-   remains is placed best-fit decreasing, class by class, into the room
-   that rounding has left and into new sequences. Work and plan depend on
-   ``capacity`` and ``rounds``, not on the number of documents.
-3. Pieces get their rank among those of equal length from sharded windows
+   A row of the program is a length, or, where there are more than ``ROWS``, a
+   run of neighbouring lengths of about equal volume that counts as its longest.
+   Minimise the number of sequences over all configurations (multisets of rows
+   that fit), such that every row is covered. Multiplicative weights: a row's
+   price falls exponentially with its coverage so far; each round adds the
+   configuration of the highest price, by as much as covers one row
+   once more, so that no step is wider than one. The knapsack dynamic program
+   prices all configurations; between two of its runs those already found are
+   priced, as long as one of them is nearly as good. The average, scaled
+   so that every row is covered, is feasible; the prices, scaled by the
+   program's best price over true lengths, are a feasible dual solution, whose value
+   bounds every packing from below.
+3. The solution is rounded by running sums, each configuration to a whole number of
+   sequences; a row's slots take its longest pieces first. What slots leave free and what
+   remains of the histogram is packed best-fit decreasing.
+   Work and plan depend on ``capacity`` and ``rounds``, not on the number of documents.
+4. Pieces get their rank among those of equal length from sharded windows
    (a shard holds about ``SHARD`` rows, however common a length is), and the
    plan, sent to all tasks, turns (length, rank) into a sequence and an offset.
 
@@ -26,8 +34,9 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,64 +48,58 @@ from seqmotif.session import ship, stored
 
 CAPACITY = 2048
 SHARD = 50_000
+#: Shares of the solution that are tried.
+SHARES = (1.0, 0.99, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1)
+#: Rows of the linear program, how steeply prices fall, and steps with known configurations between two runs of the dynamic program.
+ROWS, STEEP, INNER = 96, 0.15, 400
 #: A space between white space: the only place where cutting before a space changes how a text is split.
 UNSAFE = re.compile(r"\s (?:\s|\Z)|\x00")
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: itself if printable, else the next free letter."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Tokens:
-    """Little-endian 32-bit ids of texts; ids of units (a space and what follows it) are remembered.
+    """Little-endian 32-bit ids of texts, as `tokenizers` gives them; ids of units (a space and what follows it) are remembered.
 
     The tokenizer splits text before every space that is not between white
-    space, so that units are encoded alike wherever they stand. The vocabulary
-    file of the `tokenizers` library is read with it and used for decoding;
-    its ids are its merge ranks, by which `tiktoken` gives the same ids at a
-    fifth of the time for short units.
+    space, so that units are encoded alike wherever they stand. A text that holds
+    one of the tokenizer's added tokens is encoded in one go, unless ``plainly``,
+    which reads these as any other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plainly: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        letters = byte_letters()
-        ranks = {bytes(letters[c] for c in word): i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if not word.startswith("<|")}
-        self.encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.sizes[list(ranks.values())] = [len(b) for b in ranks]
+        self.tokenizer.encode_special_tokens = plainly
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))  # a letter of a byte-level vocabulary is a byte
+        added = [] if plainly else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsafe = re.compile("|".join([UNSAFE.pattern, *map(re.escape, added)]))
         self.known: dict[str, bytes] = {}
 
     def raw(self, some: list[str]) -> list[bytes]:
-        encode = self.encoding.encode_ordinary
-        return [array("I", encode(t)).tobytes() for t in some]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
         """Remember the ids of new units. Those of a space and a word are encoded in one go and told apart by their bytes."""
         joint = [u for u in new if u[:1] == " " and len(u) > 1 and not u[1].isspace()]
         alone = set(new).difference(joint)
         if joint:
-            ids = np.array(self.encoding.encode_ordinary("".join(joint)), "<u4")
-            at = np.cumsum(self.sizes[ids])
+            whole = self.raw(["".join(joint)])[0]
+            at = np.cumsum(self.sizes[np.frombuffer(whole, "<u4")])
             ends = np.cumsum([len(u.encode()) for u in joint])
-            last = np.searchsorted(at, ends)
+            last = np.minimum(np.searchsorted(at, ends), len(at) - 1)
             if (at[last] == ends).all():
-                whole, stops = ids.tobytes(), (4 * (last + 1)).tolist()
+                stops = (4 * (last + 1)).tolist()
                 self.known.update((u, whole[a:b]) for u, a, b in zip(joint, [0, *stops], stops))
             else:
                 alone.update(joint)
-        self.known.update((u, self.raw([u])[0]) for u in alone)
+        some = list(alone)
+        self.known.update(zip(some, self.raw(some)))
 
     def encode(self, some: list[str]) -> list[bytes]:
-        cut = [None if UNSAFE.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in some]
+        cut = [None if self.unsafe.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in some]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         self.learn(list(set().union(*filter(None, cut)).difference(self.known)))
@@ -104,14 +107,14 @@ class Tokens:
         return [self.raw([t])[0] if units is None else b"".join(map(get, units)) for t, units in zip(some, cut)]
 
 
-_TOKENS: dict[str, Tokens] = {}
+_TOKENS: dict[tuple[str, bool], Tokens] = {}
 
 
-def tokens(path: str) -> Tokens:
+def tokens(path: str, plainly: bool = False) -> Tokens:
     """This worker's tokenizer."""
-    if path not in _TOKENS:
-        _TOKENS[path] = Tokens(path)
-    return _TOKENS[path]
+    if (path, plainly) not in _TOKENS:
+        _TOKENS[path, plainly] = Tokens(path, plainly)
+    return _TOKENS[path, plainly]
 
 
 def tokenizer_path() -> str:
@@ -152,72 +155,131 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths with the highest total price that fits: unbounded knapsack over all capacities."""
-    value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        total = value[c - 1 :: -1] + prices[1 : c + 1]
+Config = list[tuple[int, int]]  # (length, how many), longest first
+
+
+def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """(how many of each row, total price) of the multiset with the highest price that fits: unbounded knapsack, ``sizes`` ascending."""
+    value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for c in range(int(sizes[0]), capacity + 1):
+        total = value[c - sizes[: fit[c]]] + prices[: fit[c]]
         k = int(total.argmax())
         if total[k] > value[c - 1]:
-            value[c], last[c] = total[k], k + 1
+            value[c], last[c] = total[k], k
         else:
             value[c] = value[c - 1]
-    config: dict[int, int] = {}
-    c = capacity
+    counts, c = np.zeros(len(sizes), np.int64), capacity
     while c > 0:
-        if last[c]:
-            config[int(last[c])] = config.get(int(last[c]), 0) + 1
-            c -= int(last[c])
+        if last[c] >= 0:
+            counts[last[c]] += 1
+            c -= int(sizes[last[c]])
         else:
             c -= 1
-    return config
+    return counts, float(value[capacity])
+
 
+def grouped(histogram: dict[int, int]) -> list[list[int]]:
+    """The program's rows: every length, or runs of neighbouring lengths of about equal volume."""
+    lengths = sorted(histogram)
+    if len(lengths) <= ROWS:
+        return [[x] for x in lengths]
+    before = np.cumsum([x * histogram[x] for x in lengths])
+    row = ((before - 1) * ROWS) // before[-1]
+    return [[lengths[i] for i in np.flatnonzero(row == k)] for k in np.unique(row)]
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int) -> list[tuple[dict[int, int], float]]:
-    """A fractional solution of the configuration LP by multiplicative weights.
 
-    A length's price starts at its size, a little more for large ones, and falls by the factor e each time the
-    length has been covered once more. Each round takes the best configuration
-    as often as its scarcest length allows.
+def fractional(histogram: dict[int, int], capacity: int, rounds: int) -> tuple[list[list[int]], list[tuple[np.ndarray, float]], float]:
+    """(rows, [(how many of each row, times)], lower bound): a feasible solution of the covering program, and a dual bound on any packing.
+
+    Stops when the solution is within 0.3 per cent of the dual bound over rows, or after ``rounds`` runs of the dynamic program.
     """
-    prices = np.full(capacity + 1, -np.inf)
-    for length in histogram:
-        prices[length] = length * (1 + 0.1 * length / capacity)
-    covered, found = dict.fromkeys(histogram, 0.0), []
+    rows = grouped(histogram)
+    sizes, least = (np.array([pick(r) for r in rows]) for pick in (max, min))
+    demand = np.array([sum(histogram[x] for x in r) for r in rows], float)
+    cover, found, times = np.zeros(len(rows)), np.zeros((0, len(rows))), np.zeros(0)
+    dual, best = 0.0, np.ones(len(rows)) / len(rows)
+    answer = (times, np.inf)
     for _ in range(rounds):
-        config = {length: min(n, histogram[length]) for length, n in best_configuration(prices, capacity).items()}
-        if not config:
-            break
-        times = min(histogram[length] / n for length, n in config.items())
-        found.append((config, times))
-        for length, n in config.items():
-            share = n * times / histogram[length]
-            covered[length] += share
-            prices[length] *= np.exp(-share)
-        if min(covered.values()) >= 1:
-            break
-    return found
-
-
-def rounded(histogram: dict[int, int], found: list[tuple[dict[int, int], float]], share: float, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Groups of equal sequences: ``share`` of each configuration without room, rounded down; the rest best-fit decreasing."""
+        prices = np.exp(-STEEP * (cover - cover.min())) / demand
+        config, top = best_configuration(prices, sizes, capacity)
+        config = np.minimum(config, demand)
+        if (bound := float(demand @ prices) / top) > dual:
+            dual, best = bound, prices
+        same = np.flatnonzero((found == config).all(1))
+        if not len(same):
+            found, times = np.vstack([found, config]), np.append(times, 0.0)
+        k = int(same[0]) if len(same) else len(found) - 1
+        share = found / demand
+        for _ in range(INNER):  # this configuration, then any known one that is good enough for the bound
+            step = 1 / share[k].max()
+            times[k] += step
+            cover += step * share[k]
+            prices = np.exp(-STEEP * (cover - cover.min())) / demand
+            value = found @ prices
+            k = int(value.argmax())
+            if 1.002 * dual * value[k] < demand @ prices:
+                break
+        if cover.min() > 0:
+            total = times.sum() / cover.min()
+            if total < answer[1]:
+                answer = (times / cover.min(), total)
+            if total <= 1.003 * dual:
+                break
+    lower = float(demand @ best) / best_configuration(best[np.argsort(least)], np.sort(least), capacity)[1]
+    solved = answer[0] if len(answer[0]) else times
+    return rows, [(c.astype(np.int64), float(x)) for c, x in zip(found, solved) if x > 0], lower
+
+
+def rounded(histogram: dict[int, int], rows: list[list[int]], found: list[tuple[np.ndarray, float]], share: float, capacity: int, longest: bool = True) -> tuple[list[tuple[int, Config]], int]:
+    """(groups of equal sequences, pieces in slots of the program): ``share`` of each configuration, rounded by running sums; the rest best-fit decreasing."""
     left = {length: n for length, n in histogram.items() if n}
-    room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
+    room: dict[int, list[tuple[int, Config]]] = {}
     spaces: list[int] = []
 
-    def put(space: int, times: int, config: list[tuple[int, int]]) -> None:
+    def put(space: int, times: int, config: Config) -> None:
         if times:
             if space not in room:
                 room[space] = []
                 insort(spaces, space)
             room[space].append((times, config))
 
-    for config, times in sorted(found, key=lambda x: -x[1]):
-        whole = min(int(times * share), *(left[length] // n for length, n in config.items()))
-        if whole and sum(length * n for length, n in config.items()) == capacity:
-            for length, n in config.items():
-                left[length] -= whole * n
-            put(0, whole, sorted(config.items(), reverse=True))
+    def fill(counts: np.ndarray) -> Config:
+        """The longest pieces left for the slots of one sequence; with ``longest`` the last slot takes the longest of all that fits."""
+        taken: dict[int, int] = {}
+        used = 0
+        last = int(np.flatnonzero(counts)[0])
+        for k in np.flatnonzero(counts)[::-1].tolist():
+            need = int(counts[k]) - (longest and k == last)
+            for x in reversed(rows[k]):
+                n = min(need, left.get(x, 0))
+                if n:
+                    taken[x] = n
+                    used += n * x
+                    need -= n
+        k = bisect_right(alive, capacity - used) - 1 if longest else -1
+        while k >= 0:
+            x = alive[k]
+            if left[x] > taken.get(x, 0):
+                taken[x] = taken.get(x, 0) + 1
+                break
+            if not left[x]:
+                del alive[k]
+            k -= 1
+        return sorted(taken.items(), reverse=True)
+
+    alive = sorted(left)
+    total = before = slotted = 0
+    for counts, times in sorted(found, key=lambda x: -x[1]):
+        total += times * share
+        whole, before = round(total) - before, round(total)
+        while whole > 0 and (config := fill(counts)):
+            each = min(whole, *(left[x] // n for x, n in config))
+            for x, n in config:
+                left[x] -= each * n
+                slotted += each * n
+            put(capacity - sum(x * n for x, n in config), each, config)
+            whole -= each
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:
@@ -236,24 +298,41 @@ def rounded(histogram: dict[int, int], found: list[tuple[dict[int, int], float]]
             put(space - each * length, whole, [*config, (length, each)])
             put(space, times - whole, config)
             n -= whole * each
-    return [g for gs in room.values() for g in gs]
+    return [g for gs in room.values() for g in gs], slotted
+
+
+@dataclass
+class Plan:
+    """(number of sequences, configuration) of all groups of equal sequences; the lower bound; how many pieces stand in slots of the program."""
+
+    groups: list[tuple[int, Config]]
+    bound: float
+    slotted: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for n, _ in self.groups)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 300) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(number of sequences, [(length, how many in each)]) of all groups of equal sequences, for the whole histogram.
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 250) -> Plan:
+    """The plan for the whole histogram.
 
-    The LP is solved once and rounded with several shares; the rounding with
-    the fewest sequences is the plan.
+    The program is solved once and rounded with several shares of its
+    solution; the rounding with the fewest sequences is the plan, the largest share first.
     """
     rest = {length: n for length, n in histogram.items() if n and length < capacity}
-    full = [(histogram[capacity], [(capacity, 1)])] if histogram.get(capacity) else []
+    full = histogram.get(capacity, 0)
+    groups = [(full, [(capacity, 1)])] if full else []
     if not rest:
-        return full
-    found = fractional(rest, capacity, rounds)
-    return full + min((rounded(rest, found, share, capacity) for share in (1.0, 0.5, 0.25, 0.1)), key=lambda groups: sum(n for n, _ in groups))
+        return Plan(groups, full, full)
+    rows, found, bound = fractional(rest, capacity, rounds)
+    tried = [rounded(rest, rows, found, share, capacity, longest) for share in SHARES for longest in (False, True)]
+    packed, slotted = min(tried, key=lambda x: sum(n for n, _ in x[0]))
+    volume = sum(length * n for length, n in rest.items()) / capacity
+    return Plan(groups + packed, full + max(bound, volume), full + slotted)
 
 
-def layout(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]:
+def layout(groups: list[tuple[int, Config]]) -> dict[int, np.ndarray]:
     """By length the rows (first rank, each, first sequence, offset), by rank."""
     rows: dict[int, list] = {}
     ranks: dict[int, int] = {}
@@ -269,12 +348,12 @@ def layout(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndar
     return {length: np.array(r, np.int64) for length, r in rows.items()}
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 300) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 250) -> DataFrame:
     """A stored table of pieces with ``sequence_id`` and ``offset`` added."""
     spark = parts.sparkSession
     ship(spark)
     sizes = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    shared = spark.sparkContext.broadcast(layout(plan(sizes, capacity, rounds)))
+    shared = spark.sparkContext.broadcast(layout(plan(sizes, capacity, rounds).groups))
     shards = F.greatest(F.lit(1), F.ceil(F.count("*") / SHARD)).cast("long")
     names = parts.columns
     known = parts.groupBy("length").agg(shards.alias("_shards"))
