@@ -9,14 +9,18 @@ taken from coarse to fine; pairs that can't reach a query's k-th best score so
 far are dropped, survivors get their exact integer inner product. A bound that
 equals the k-th best score is no reason to drop, so ties are exact.
 
-Candidate blocks are shuffled once; the query set is sent to them in blocks.
-Within a task pairs are ordered by query block, so one block's best scores are
-held at a time, and they keep tightening over all candidate blocks of the task.
+Candidate blocks are a stored table and never shuffled. Query blocks are read by
+the driver a group at a time, ``GROUP`` bytes at most whatever the size of the
+table, and sent to all tasks; each group is one pass over the candidates. Before
+it, ``FIRST`` candidate blocks give every query of the group a k-th best score from
+below, so that a task emits nothing that can't be among the best of these.
 
 Vectors that are null or hold null or non-finite components take no part, nor
-do rows with a null vec_id. Rows with the query's vec_id are its own. Vectors
-of different lengths aren't compared. Scores beyond the range of a long are
-clipped to it. Repeated rows are candidates each. No queries: an empty result.
+do rows with a null vec_id. Rows with the query's vec_id are its own; a vec_id
+that is repeated is one query, with the smallest of its vectors, while each of its rows
+is a candidate of other queries. Vectors of different lengths aren't compared.
+Components beyond 2^62 and scores beyond the range of a long are clipped to
+it. Repeated rows are candidates each. No queries: an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqmotif.session import ship, stored
+from seqmotif.session import scratch, ship, stored
 
 SCALE = 256
 #: Vectors in a block of queries and of candidates; segments at each resolution.
 QUERY_BLOCK, CANDIDATE_BLOCK, SEGMENTS = 128, 512, (4, 8, 16)
 LONG = (1 << 63) - 1
+#: Bytes of query blocks that are sent to all tasks at once, and candidate blocks that the first thresholds come from.
+GROUP, FIRST = 32 << 20, 4
+FOUND = "query_id long, rank int, vec_id long, score long"
 
 
 def usable(column: str = "embedding") -> Column:
@@ -80,12 +87,12 @@ def statistics(whole: np.ndarray, segments: int) -> np.ndarray:
 class Search:
     """The best k of one block of queries over the candidate blocks it is shown."""
 
-    def __init__(self, ids: np.ndarray, whole: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, whole: np.ndarray, k: int, least: np.ndarray | None = None):
         self.ids, self.whole, self.k = ids, whole, k
         self.float = whole.astype(np.float64)
         self.levels = [statistics(self.float, s) for s in SEGMENTS]
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, vec_id), sorted
-        self.least = np.full(len(ids), -np.inf)
+        self.least = np.full(len(ids), -np.inf) if least is None else least.copy()
 
     def exact(self, q: np.ndarray, c: np.ndarray, whole: np.ndarray) -> list[int]:
         """Integer inner products; with Python's integers where a long might overflow."""
@@ -101,7 +108,7 @@ class Search:
                 best.sort()
                 del best[self.k :]
                 if len(best) == self.k:
-                    self.least[i] = -best[-1][0]
+                    self.least[i] = max(self.least[i], -best[-1][0])
 
     def show(self, ids: np.ndarray, whole: np.ndarray) -> None:
         """Bound, prune and score a block of candidates."""
@@ -129,51 +136,92 @@ class Search:
         return [(int(i), vec_id, -negative) for i, best in zip(self.ids, self.best) for negative, vec_id in best]
 
 
-def top(embeddings: DataFrame, every: int, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): for rows whose vec_id is divisible by ``every`` the k best of all other rows."""
-    spark = embeddings.sparkSession
-    ship(spark)
-    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable())
-    candidates = blocks(vectors, CANDIDATE_BLOCK).select("dim", F.col("ids").alias("c_ids"), F.col("whole").alias("c_whole"), F.monotonically_increasing_id().alias("c"))
-    queries = stored(blocks(vectors.where(F.col("vec_id") % every == 0).coalesce(8), QUERY_BLOCK).withColumn("q", F.monotonically_increasing_id()), spark)
-    candidates = stored(candidates, spark)
-    sent = candidates.select("c", "dim").join(queries.select("q", "dim"), "dim").select("c", "q")
-    pairs = sent.join(queries.select("q", "ids", "whole"), "q").join(candidates, "c").select("q", "c", "dim", "ids", "whole", "c_ids", "c_whole")
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a block."""
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["whole"], np.int64).reshape(len(ids), row["dim"])
+
+
+def thresholds(queries: DataFrame, first: list[dict], k: int) -> DataFrame:
+    """``queries`` with ``least``, the k-th best score of each query over the ``first`` candidate blocks, or minus infinity."""
+    shared = queries.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(s: Search) -> pa.RecordBatch:
-            columns = list(zip(*s.rows())) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        for batch in batches:
+            least = []
+            for q in batch.to_pylist():
+                search = Search(*unpack(q), k)
+                for c in shared.value:
+                    if c["dim"] == q["dim"]:
+                        search.show(*unpack(c))
+                least.append(search.least.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.binary())], [*batch.schema.names, "least"])
+
+    return queries.mapInArrow(run, "dim int, ids binary, whole binary, least binary")
+
+
+def search(candidates: DataFrame, queries: list[dict], k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of each query in the blocks of ``queries``, which hold GROUP bytes at most."""
+    shared = candidates.sparkSession.sparkContext.broadcast(queries)
 
-        search, current = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[int, list[Search]] = {}
+        for q in shared.value:
+            mine.setdefault(q["dim"], []).append(Search(*unpack(q), k, np.frombuffer(q["least"])))
         for batch in batches:
-            for n in range(batch.num_rows):
-                row = {c: batch.column(c)[n].as_py() for c in ("q", "dim", "c_ids", "c_whole")}
-                if row["q"] != current:
-                    if search:
-                        yield out(search)
-                    current = row["q"]
-                    ids = np.frombuffer(batch.column("ids")[n].as_py(), np.int64)
-                    search = Search(ids, np.frombuffer(batch.column("whole")[n].as_py(), np.int64).reshape(len(ids), row["dim"]), k)
-                ids = np.frombuffer(row["c_ids"], np.int64)
-                search.show(ids, np.frombuffer(row["c_whole"], np.int64).reshape(len(ids), row["dim"]))
-        if search:
-            yield out(search)
-
-    found = pairs.repartition("c").sortWithinPartitions("q", "c").mapInArrow(run, "query_id long, vec_id long, score long")
+            for c in batch.to_pylist():
+                for s in mine[c["dim"]]:
+                    s.show(*unpack(c))
+        for some in mine.values():
+            for s in some:
+                columns = list(zip(*s.rows())) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+    found = candidates.where(F.col("dim").isin(sorted({q["dim"] for q in queries}))).mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def grouped(queries: DataFrame) -> Iterator[list[dict]]:
+    """Blocks of queries in groups of GROUP bytes at most (or one block), read one after the other."""
+    group, size = [], 0
+    for r in queries.toLocalIterator():
+        if group and size + len(r["whole"]) > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(r.asDict())
+        size += len(r["whole"])
+    if group:
+        yield group
+
+
+def top(embeddings: DataFrame, every: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): for rows whose vec_id is divisible by ``every`` the k best of all other rows."""
+    spark = embeddings.sparkSession
+    ship(spark)
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable())
+    candidates = stored(blocks(vectors, CANDIDATE_BLOCK), spark)
+    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    first = [r.asDict() for r in candidates.limit(FIRST).collect()]
+    queries = stored(thresholds(blocks(asked, QUERY_BLOCK), first, k), spark)
+    path, written = scratch(spark), False
+    for group in grouped(queries):
+        search(candidates, group, k).write.mode("append").parquet(path)
+        written = True
+    return spark.read.schema(FOUND).parquet(path) if written else spark.createDataFrame([], FOUND)
+
+
 def query(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
     """The 5 best of every row whose vec_id is divisible by 50."""
     return top(embeddings, 50, 5)
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+WITH v AS (SELECT vec_id, embedding AS e, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-e AS (SELECT vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+q AS (SELECT vec_id, arg_min(w, e) AS w FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+e AS (SELECT vec_id, row, len(w) AS d, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v),
+u AS (SELECT vec_id, len(w) AS d, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM q),
+s AS (SELECT u.vec_id AS query_id, e.vec_id AS vec_id, e.row, CAST(sum(u.x * e.x) AS BIGINT) AS score FROM u JOIN e ON u.i = e.i AND u.d = e.d AND u.vec_id <> e.vec_id GROUP BY ALL)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
