@@ -78,6 +78,31 @@ def test_toxicity_held_out_and_decoding(spark, docs):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
     decoder = toxicity.Decoder(toxicity.language_model(documents))
     assert [decoder.restore(t) for t in ("i.d.i.o.t", "l0ser", "m o r o n", "Cl0wn!!", "loooser")] == ["idiot", "loser", "moron", "clown", "loser"]
+    assert [decoder.restore(t) for t in ("2024", "$1.50", "10:30", "...")] == ["2024", "$1.50", "10:30", ""]
+    spoken = spark.createDataFrame([("bass pass glass " * 300,)], "text string")
+    assert toxicity.Decoder(toxicity.language_model(spoken)).restore("84$$") == "bass"
+
+
+def test_language_model_counts_characters():
+    import pyarrow as pa
+
+    found = {}
+    for batch in toxicity.count_trigrams(iter([pa.RecordBatch.from_pydict({"text": ["Éa “b", None, "", "日"]})])):
+        found |= dict(zip(batch.column("gram").to_pylist(), batch.column("n").to_pylist()))
+    expected = defaultdict(int)
+    for text in ("Éa “b", "", "", "日"):
+        codes = [toxicity.symbol(c) for c in f"  {text.lower()}  "]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            expected[(a * 28 + b) * 28 + c] += 1
+    expected[0] = found[0] = 0  # blanks between texts
+    assert found == expected
+
+
+def test_classifiers_without_both_classes(spark, docs):
+    for none in (spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([(3, 1, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")):
+        share = 0.5 if none.count() == 0 else 1 / 1.002 + 0.001 / 1.002
+        for module in (quality, toxicity):
+            assert all(abs(r.score - share) < 1e-6 for r in module.classify(docs, none).collect())
 
 
 def test_viterbi_is_exact_on_small_lattices(spark):
@@ -133,10 +158,13 @@ def test_viterbi_is_exact_with_many_states():
 
 
 def test_packing(spark, docs):
-    rows = packing.query(spark, docs).collect()
-    tokenizer = packing.tokens(packing.tokenizer_path()).tokenizer
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    special = [(7, "a <|endoftext|> b<|endoftext|>", "x", 1), (8, "<|endoftext|>", "x", 1), (9, "two  blanks \t x\n y", "x", 1)]
+    rows = packing.query(spark, docs.unionByName(spark.createDataFrame(special, DOCS))).collect()
     expected = []
-    for doc_id, text, *_ in ODD:
+    for doc_id, text, *_ in ODD + special:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         expected += [(doc_id, p, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for p, (s, n) in enumerate(packing.cut(len(ids), 2048))]
     key = lambda r: tuple((x is None, x) for x in r)
@@ -153,13 +181,51 @@ def test_packing(spark, docs):
     assert packing.query(spark, docs.limit(0)).count() == 0
 
 
+def best_fit_decreasing(histogram, capacity):
+    rooms, n = [], 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            k = min((r for r in rooms if r >= length), default=None)
+            if k is None:
+                n += 1
+                rooms.append(capacity - length)
+            else:
+                rooms.remove(k)
+                rooms.append(k - length)
+    return n
+
+
+@pytest.mark.parametrize("histogram", [{1032: 120, 528: 120, 520: 120, 496: 240}, {683: 180, 700: 140, 690: 66, 666: 20, 512: 160, 520: 140, 513: 91, 515: 60, 505: 180, 342: 200, 350: 180}])
+def test_program_beats_best_fit_decreasing(histogram):
+    made = packing.plan(histogram)
+    used = defaultdict(int)
+    for times, config in made.groups:
+        assert sum(n * k for n, k in config) <= 2048
+        for n, k in config:
+            used[n] += times * k
+    assert used == histogram and made.slotted > 0.9 * sum(histogram.values())
+    assert made.bound <= made.sequences <= 1.02 * made.bound and made.sequences < best_fit_decreasing(histogram, 2048)
+
+
+def test_program_is_feasible_and_bounded():
+    rng = random.Random(2)
+    for _ in range(4):
+        histogram = {n: rng.randint(1, 9) for n in rng.sample(range(2, 13), 5)}
+        rows, found, bound = packing.fractional(histogram, 12, 60)
+        cover = sum(c * x for c, x in found)
+        assert all(r == [x] for r, x in zip(rows, sorted(histogram))) and all(cover[k] >= histogram[r[0]] * (1 - 1e-9) for k, r in enumerate(rows))
+        total = sum(x for _, x in found)
+        assert bound <= total * (1 + 1e-9) <= 1.1 * bound + 1e-9
+        assert all(sum(n * r[0] for n, r in zip(c, rows)) <= 12 for c, _ in found)
+
+
 def test_packing_is_near_the_bound():
     rng = random.Random(1)
     histogram = defaultdict(int)
     for _ in range(20000):
         histogram[min(2048, int(rng.expovariate(1 / 500)) + 1)] += 1
-    groups = packing.plan(dict(histogram))
-    used = defaultdict(int)
+    made = packing.plan(dict(histogram))
+    groups, used = made.groups, defaultdict(int)
     for times, config in groups:
         assert sum(n * k for n, k in config) <= 2048
         for n, k in config:
@@ -237,6 +303,21 @@ def test_topk(spark):
         expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
     assert got == sorted(expected)
     assert topk.query(spark, df.limit(0)).count() == 0
+    assert topk.query(spark, df.where("vec_id = 7")).count() == 0
+
+
+def test_topk_with_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 4000)
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.standard_normal(8)]) for k in [*range(120), 50, 50, 6, 6, 100]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    whole = [(k, [int(np.floor(256 * float(np.float32(x)))) for x in v], [float(np.float32(x)) for x in v]) for k, v in rows]
+    expected = []
+    for q in (0, 50, 100):
+        vector = min((v, w) for k, w, v in whole if k == q)[1]
+        best = sorted((-sum(a * b for a, b in zip(vector, w)), k) for k, w, _ in whole if k != q)[:5]
+        expected += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert sorted(map(tuple, topk.query(spark, df).collect())) == expected
 
 
 def test_neardup(spark):
@@ -298,9 +379,29 @@ def test_html_ratios_pick_the_region():
     assert html_text.extract(page.replace("</body>", teaser)) == expected
 
 
+def test_html_ratio_decides_where_nothing_is_marked():
+    chrome = "".join(f"<div><span>{w}</span><i>|</i><b>{w} {w}</b></div>" for w in ("Home", "About us", "Contact", "Terms"))
+    page = f"<body>{chrome}<div><h1>Title</h1><p>{PROSE}<p>{MORE}<p>Short.<p>{PROSE}</div>{chrome}</body>"
+    assert html_text.extract(page) == "\n\n".join(["Title", PROSE, MORE, "Short.", PROSE])
+    assert "Contact" in html_text.extract(page, share=0)
+
+
+def test_html_pages(spark):
+    long = f"<article><p>{PROSE}</p>" + "".join(f"<p>{k} {MORE}</p>" for k in range(8000)) + "</article>"
+    rows = [(1, "u", None, 5), (2, None, f"<nav>x</nav><p>{PROSE}", 5), (2, None, f"<nav>x</nav><p>{PROSE}", 5), (3, "u", long, None), (None, "u", "<nav>menu</nav>", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = {r.page_id: r for r in html_text.query(spark, df).collect()}
+    assert html_text.query(spark, df).count() == 5 and html_text.query(spark, df.limit(0)).count() == 0
+    assert (got[1].text, got[2].text, got[None].text) == ("", PROSE, "") and got[2].n_chars == len(PROSE)
+    assert got[3].text.split("\n\n") == [PROSE, *(f"{k} {MORE}" for k in range(8000))]
+
+
 @pytest.mark.parametrize(
     ("html", "lines"),
     [
+        (f"<div class='entry-header'><h1>T</h1></div><article><header><h1>H</h1></header><p>{PROSE}</p><p>{MORE}</p></article><header>x</header>", ["H", PROSE, MORE]),
+        (f"<article><div class='entry-header'><h1>T</h1></div><p>{PROSE}</p><header class='header'>By me</header></article>", ["T", PROSE, "By me"]),
+        (f"<div class='widget-main'><p>{PROSE}</p></div>", [PROSE]),
         (f"<main><h1>T</h1><p>{PROSE}</p><article><p>{MORE}</p></article></main>", ["T", PROSE, MORE]),
         (f"<article><p>{PROSE}</p><article><p>{MORE}</p></article><p>End.</p></article>", [PROSE, MORE, "End."]),
         (f"<article><p>{PROSE}</p></article><nav>x</nav><article><p>{MORE}</p><p>{PROSE}</p></article><article><p>{MORE}</p></article>", [PROSE, MORE, PROSE, MORE]),
@@ -354,6 +455,22 @@ def test_chat(spark):
         assert chat.unescape(chat.escape(text)) == text and not chat.CONTROL.search(chat.escape(text))
 
 
+def test_pipeline_keeps_columns_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = table(spark, SF, "documents").selectExpr("*", "'mine' AS score", "'x' AS Predicted", "doc_id AS own_id", "1 AS own_key", "2 AS kept_id", "true AS held_out", "3L AS _id")
+    odd = docs.limit(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars", "score", "Predicted", "own_id", "own_key", "kept_id", "held_out", "_id")
+    docs = docs.unionByName(odd).unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", docs.text.substr(1, 0)))
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, SF, "labels").write.parquet(str(tmp_path / "labels.parquet"))
+    before = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF), spark)
+        assert docs.count() <= before
+    assert {r.score for r in docs.collect()} == {"mine"} and docs.columns[5:] == ["score", "Predicted", "own_id", "own_key", "kept_id", "held_out", "_id"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
