@@ -1,8 +1,9 @@
 """Corpus pipeline: quality, toxicity, near duplicates, packing.
 
 Each stage reads the documents that its predecessor kept and returns documents
-with the same columns; the last returns one row per packed piece. Between
-stages the documents are a Parquet table in the shared folder.
+with the same columns, whatever extra ones there are; the last returns one row
+per packed piece. Between stages the documents are a Parquet table in the
+shared folder. Null texts are empty; of rows that repeat both doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -19,14 +20,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text isn't toxic."""
-    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
