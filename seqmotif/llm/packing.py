@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqmotif.llm.common import CACHE_WORDS, texts
+from seqmotif.llm.common import texts
 from seqmotif.session import ship, stored
 
 CAPACITY = 2048
@@ -52,6 +52,10 @@ SHARD = 50_000
 SHARES = (1.0, 0.99, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1)
 #: Rows of the linear program, how steeply prices fall, and steps with known configurations between two runs of the dynamic program.
 ROWS, STEEP, INNER = 96, 0.15, 400
+#: Units a worker remembers, some 200 bytes each.
+UNITS = 700_000
+#: Signs that end a word of letters; an apostrophe may belong to it.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space between white space: the only place where cutting before a space changes how a text is split.
 UNSAFE = re.compile(r"\s (?:\s|\Z)|\x00")
 
@@ -81,10 +85,17 @@ class Tokens:
     def raw(self, some: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        """Remember the ids of new units. Those of a space and a word are encoded in one go and told apart by their bytes."""
-        joint = [u for u in new if u[:1] == " " and len(u) > 1 and not u[1].isspace()]
-        alone = set(new).difference(joint)
+    def learn(self, new: set[str]) -> None:
+        """Remember the ids of new units.
+
+        Those of a space and a word are encoded in one go and told apart by their bytes. Signs behind a word of letters
+        are split from it by the tokenizer too, so both are encoded by themselves.
+        """
+        heads = {u: u.rstrip(SIGNS) for u in new}
+        parted = {u: head for u, head in heads.items() if head != u and head[:1] == " " and head[1:].isalpha()}
+        wanted = new.difference(parted).union(parted.values(), (u[len(head) :] for u, head in parted.items())).difference(self.known)
+        joint = [u for u in wanted if u[:1] == " " and len(u) > 1 and not u[1].isspace()]
+        alone = wanted.difference(joint)
         if joint:
             whole = self.raw(["".join(joint)])[0]
             at = np.cumsum(self.sizes[np.frombuffer(whole, "<u4")])
@@ -97,12 +108,14 @@ class Tokens:
                 alone.update(joint)
         some = list(alone)
         self.known.update(zip(some, self.raw(some)))
+        known = self.known
+        known.update([(u, known[head] + known[u[len(head) :]]) for u, head in parted.items()])
 
     def encode(self, some: list[str]) -> list[bytes]:
         cut = [None if self.unsafe.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in some]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > UNITS:
             self.known.clear()
-        self.learn(list(set().union(*filter(None, cut)).difference(self.known)))
+        self.learn(set().union(*filter(None, cut)).difference(self.known))
         get = self.known.__getitem__
         return [self.raw([t])[0] if units is None else b"".join(map(get, units)) for t, units in zip(some, cut)]
 
