@@ -56,8 +56,8 @@ ROWS, STEEP, INNER = 96, 0.15, 400
 UNITS = 700_000
 #: Signs that end a word of letters; an apostrophe may belong to it.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: A space between white space: the only place where cutting before a space changes how a text is split.
-UNSAFE = re.compile(r"\s (?:\s|\Z)|\x00")
+#: A space before white space.
+BEFORE = re.compile(r" \s")
 
 
 class Tokens:
@@ -78,10 +78,13 @@ class Tokens:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))  # a letter of a byte-level vocabulary is a byte
-        added = [] if plainly else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unsafe = re.compile("|".join([UNSAFE.pattern, *map(re.escape, added)]))
+        self.whole = ["\x00"] + ([] if plainly else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.known: dict[str, bytes] = {}
 
+    def unsafe(self, text: str) -> bool:
+        """Must the text be encoded in one go? For cutting before a space changes how text is split only between white space."""
+        return text.endswith(" ") or BEFORE.search(text) is not None or any(x in text for x in self.whole)
+
     def raw(self, some: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
@@ -91,28 +94,29 @@ class Tokens:
         Those of a space and a word are encoded in one go and told apart by their bytes. Signs behind a word of letters
         are split from it by the tokenizer too, so both are encoded by themselves.
         """
-        heads = {u: u.rstrip(SIGNS) for u in new}
-        parted = {u: head for u, head in heads.items() if head != u and head[:1] == " " and head[1:].isalpha()}
-        wanted = new.difference(parted).union(parted.values(), (u[len(head) :] for u, head in parted.items())).difference(self.known)
+        known = self.known
+        parted = [(u, head, u[len(head) :]) for u in new if (head := u.rstrip(SIGNS)) != u and head[:1] == " " and head[1:].isalpha()]
+        wanted = {x for _, *both in parted for x in both if x not in known}
+        wanted.update(new.difference([u for u, *_ in parted]))
         joint = [u for u in wanted if u[:1] == " " and len(u) > 1 and not u[1].isspace()]
         alone = wanted.difference(joint)
         if joint:
-            whole = self.raw(["".join(joint)])[0]
+            text = "".join(joint)
+            whole = self.raw([text])[0]
             at = np.cumsum(self.sizes[np.frombuffer(whole, "<u4")])
-            ends = np.cumsum([len(u.encode()) for u in joint])
+            ends = np.cumsum(list(map(len, joint if text.isascii() else map(str.encode, joint))))
             last = np.minimum(np.searchsorted(at, ends), len(at) - 1)
             if (at[last] == ends).all():
                 stops = (4 * (last + 1)).tolist()
-                self.known.update((u, whole[a:b]) for u, a, b in zip(joint, [0, *stops], stops))
+                known.update(zip(joint, map(whole.__getitem__, map(slice, [0, *stops], stops))))
             else:
                 alone.update(joint)
         some = list(alone)
-        self.known.update(zip(some, self.raw(some)))
-        known = self.known
-        known.update([(u, known[head] + known[u[len(head) :]]) for u, head in parted.items()])
+        known.update(zip(some, self.raw(some)))
+        known.update([(u, known[head] + known[signs]) for u, head, signs in parted])
 
     def encode(self, some: list[str]) -> list[bytes]:
-        cut = [None if self.unsafe.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in some]
+        cut = [None if self.unsafe(t) else t.replace(" ", "\x00 ").split("\x00") for t in some]
         if len(self.known) > UNITS:
             self.known.clear()
         self.learn(set().union(*filter(None, cut)).difference(self.known))
