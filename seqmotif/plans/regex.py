@@ -61,33 +61,34 @@ def to_regex(pattern: Pattern, plain: bool = False, strict_n: bool = False, shif
     return "".join(map(one, pattern.units))
 
 
-def hits(pattern: Pattern, seq: Column, plain: bool = False, strict_n: bool = False, texts: bool = True) -> Column:
-    """array<struct<start,end,units>> of the chained hits in ``seq``, 1-based and closed; units hold piece lengths and texts."""
-    regex = to_regex(pattern, plain, strict_n)
-    anchored = pattern.units[0].kind == "start"
-    data = normal(seq) if pattern.dna else F.upper(seq)
-    whole = F.lit(f"(?s)\\G(.*?)({to_regex(pattern, plain, strict_n, 2)})")
-    skipped = F.regexp_extract_all(data, whole, F.lit(1))
-    found = F.regexp_extract_all(data, whole, F.lit(2))
-    if anchored:
-        skipped, found = F.slice(skipped, 1, 1), F.slice(found, 1, 1)
-    pairs = F.arrays_zip(skipped.alias("skip"), found.alias("hit"))
-    kind = "struct<past:int,out:array<struct<start:int,end:int>>>"
-    start = F.struct(F.lit(0).alias("past"), F.array().alias("out")).cast(kind)
+#: Signs that mark what was found: the end of skipped text, of a unit, of a hit. In sequences they are unknown letters.
+SKIP, UNIT, HIT = "\x01", "\x02", "\x03"
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["past"] + F.length(x["skip"])
-        end = first + F.length(x["hit"])
-        return F.struct(end.alias("past"), F.concat(acc["out"], F.array(F.struct((first + 1).alias("start"), end.alias("end")))).alias("out")).cast(kind)
 
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    if not texts:
-        return placed
-    exact = f"(?s)\\A{regex}\\z"
+def hits(pattern: Pattern, seq: Column, plain: bool = False, strict_n: bool = False) -> Column:
+    """array<struct<start,end,sizes>> of the chained hits in ``seq``, 1-based and closed; sizes are the lengths of the units' pieces.
 
-    def units(place: Column) -> Column:
-        text = F.substr(data, place["start"], place["end"] - place["start"] + 1)
-        return F.array(*[F.length(F.regexp_extract(text, exact, u.index + 1)).alias(str(u.index)) for u in pattern.flat])
+    One pass marks all hits and their units in the text; what stands between the marks gives lengths and places.
+    """
+    data = F.translate(normal(seq) if pattern.dna else F.upper(seq), SKIP + UNIT + HIT, "???")
+    whole = F.lit(f"(?s)\\G(.*?){to_regex(pattern, plain, strict_n, 1)}")
+    groups = "".join(f"${u.index + 2}{UNIT}" for u in pattern.flat)
+    marked = F.split(F.regexp_replace(data, whole, F.lit(f"$1{SKIP}{groups}{HIT}")), HIT)
+    found = F.slice(marked, 1, F.size(marked) - 1)
+    if pattern.units[0].kind == "start":
+        found = F.slice(found, 1, 1)
+
+    def measured(x: Column) -> Column:
+        parts = F.split(x, SKIP)
+        sizes = F.slice(F.transform(F.split(parts[1], UNIT), F.length), 1, len(pattern.flat))
+        return F.struct(F.length(parts[0]).alias("skip"), sizes.alias("sizes"), (F.length(parts[1]) - len(pattern.flat)).alias("size"))
+
+    kind = "struct<past:int,out:array<struct<start:int,end:int,sizes:array<int>>>>"
+    start = F.struct(F.lit(0).alias("past"), F.array().alias("out")).cast(kind)
 
-    return F.transform(placed, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), units(p).alias("sizes")))
+    def step(acc: Column, x: Column) -> Column:
+        first = acc["past"] + x["skip"]
+        end = first + x["size"]
+        return F.struct(end.alias("past"), F.concat(acc["out"], F.array(F.struct((first + 1).alias("start"), end.alias("end"), x["sizes"].alias("sizes")))).alias("out")).cast(kind)
 
+    return F.aggregate(F.transform(found, measured), start, step, lambda acc: acc["out"])

@@ -26,8 +26,9 @@ SQL: dict[str, str] = {}
 
 def sequences(spark: SparkSession, sf_dir: str, kind: str = "dna") -> DataFrame:
     """(seq_ord, seq_id, seq) of all documents."""
-    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_ord"), F.col("doc_id").cast("string").alias("seq_id"), F.regexp_replace(letters, KEEP[kind], "").alias("seq"))
+    letters = KEEP[kind][2:-1]
+    others = "[^A-Za-z]+" if kind == "protein" else f"[^{letters}{letters.lower()}]+"
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_ord"), F.col("doc_id").cast("string").alias("seq_id"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), others, "")).alias("seq"))
 
 
 def base_sql(kind: str = "dna") -> str:
@@ -64,7 +65,7 @@ def scanned(name: str, pattern: str, candidates: str | None, kind: str = "dna",
     alphabet = "protein" if kind == "protein" else "dna"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return places(scan.scan(sequences(spark, sf_dir, kind), pattern, alphabet, plain=kind == "dna", **options))  # type: ignore[arg-type]
+        return places(scan.scan(sequences(spark, sf_dir, kind), pattern, alphabet, plain=kind == "dna", units=False, **options))  # type: ignore[arg-type]
 
     add(name, candidates and chain_sql(candidates, kind))(run)
 
@@ -134,36 +135,36 @@ scanned("strict_n", "p1=4...4 p1", fixed_sql(f"{at(4)} = {at(4, '4')} AND regexp
 @add("overlapping_hits", f"""WITH {base_sql()} SELECT seq_ord, CAST(i AS BIGINT) AS start, CAST(i + 7 + g AS BIGINT) AS "end", CAST(row_number() OVER (PARTITION BY seq_ord ORDER BY i, g) - 1 AS BIGINT) AS hit_ord
 FROM p, {GAP.format(1, 5)} WHERE i + 7 + g <= length(s) AND {at(4)} = {at(4, '4 + g')}""")
 def overlapping_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(sequences(spark, sf_dir), "p1=4...4 1...4 p1", overlaps=True).select("seq_ord", "start", "end", "hit_ord")
+    return scan.scan(sequences(spark, sf_dir), "p1=4...4 1...4 p1", overlaps=True, units=False).select("seq_ord", "start", "end", "hit_ord")
 
 
 @add("both_strands", f"""WITH {base_sql()} SELECT seq_ord, strand, CAST(i AS BIGINT) AS start, CAST(i + 3 AS BIGINT) AS "end" FROM p, (VALUES ('+', 'TGGA'), ('-', 'TCCA')) v(strand, w) WHERE substr(s, i, 4) = w""")
 def both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(sequences(spark, sf_dir), "TGGA", both_strands=True, plain=True).select("seq_ord", "strand", "start", "end")
+    return scan.scan(sequences(spark, sf_dir), "TGGA", both_strands=True, plain=True, units=False).select("seq_ord", "strand", "start", "end")
 
 
 @add("dedup_strands", f"""WITH {base_sql()} SELECT seq_ord, CAST(i AS BIGINT) AS start, CAST(i + 3 AS BIGINT) AS "end", '.' AS strand FROM p WHERE substr(s, i, 4) = 'AATT'""")
 def dedup_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.scan(sequences(spark, sf_dir), "AATT", both_strands=True, plain=True)
+    found = scan.scan(sequences(spark, sf_dir), "AATT", both_strands=True, plain=True, units=False)
     return features.dedup_strands(found).select("seq_ord", "start", "end", F.col("shown").alias("strand"))
 
 
 @add("hit_limit", f"""WITH {base_sql()} SELECT seq_ord, CAST(i AS BIGINT) AS start, CAST(i + 4 AS BIGINT) AS "end" FROM p WHERE substr(s, i, 5) = 'TATAA' ORDER BY seq_ord, i LIMIT 100""")
 def hit_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places(scan.scan(sequences(spark, sf_dir), "TATAA", plain=True, max_hits=100))
+    return places(scan.scan(sequences(spark, sf_dir), "TATAA", plain=True, units=False, max_hits=100))
 
 
 @add("miss_limit", f"""WITH {base_sql()}, h AS (SELECT seq_ord, i FROM p WHERE substr(s, i, 5) = 'TATAA'),
 m AS (SELECT seq_ord, row_number() OVER (ORDER BY seq_ord) AS k FROM s WHERE seq_ord NOT IN (SELECT seq_ord FROM h))
 SELECT seq_ord, CAST(i AS BIGINT) AS start, CAST(i + 4 AS BIGINT) AS "end" FROM h WHERE seq_ord < coalesce((SELECT seq_ord FROM m WHERE k = 20), 9223372036854775807)""")
 def miss_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places(scan.scan(sequences(spark, sf_dir), "TATAA", plain=True, max_misses=20))
+    return places(scan.scan(sequences(spark, sf_dir), "TATAA", plain=True, units=False, max_misses=20))
 
 
 @add("ignore_ids", f"""WITH {base_sql()} SELECT seq_ord, CAST(i AS BIGINT) AS start, CAST(i + 4 AS BIGINT) AS "end" FROM p WHERE substr(s, i, 5) = 'TATAA' AND seq_ord NOT IN (SELECT doc_id FROM labels)""")
 def ignore_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("seq_id"))
-    return places(scan.scan(sequences(spark, sf_dir), "TATAA", plain=True, ignore_ids=ids))
+    return places(scan.scan(sequences(spark, sf_dir), "TATAA", plain=True, units=False, ignore_ids=ids))
 
 
 WORDS = ["TATAA", "GCAGC", "ACGGTA"]
@@ -172,7 +173,7 @@ WORDS = ["TATAA", "GCAGC", "ACGGTA"]
 @add("multi_pattern", f"""WITH {base_sql()}, c AS (SELECT seq_ord, k AS pat_ord, i, length(w) AS n FROM p, (VALUES (0, 'TATAA'), (2, 'ACGGTA')) v(k, w) WHERE substr(s, i, length(w)) = w)
 SELECT seq_ord, pat_ord, CAST(i AS BIGINT) AS start, CAST(i + n - 1 AS BIGINT) AS "end" FROM c""")
 def multi_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(sequences(spark, sf_dir), WORDS, plain=True).where("pat_ord <> 1").select("seq_ord", "pat_ord", "start", "end")
+    return scan.scan(sequences(spark, sf_dir), WORDS, plain=True, units=False).where("pat_ord <> 1").select("seq_ord", "pat_ord", "start", "end")
 
 
 CHAINED = 'seq_ord, {} AS pat_ord, CAST(h.start AS BIGINT) AS start, CAST(h."end" AS BIGINT) AS "end"'
@@ -180,7 +181,7 @@ CHAINED = 'seq_ord, {} AS pat_ord, CAST(h.start AS BIGINT) AS start, CAST(h."end
 
 @add("multi_pattern_chain", " UNION ALL ".join(f"SELECT * FROM ({chain_sql(fixed_sql(f"{at(len(w))} = '{w}'", len(w)), columns=CHAINED.format(k))})" for k, w in enumerate(WORDS)))
 def multi_pattern_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(sequences(spark, sf_dir), WORDS, plain=True).select("seq_ord", "pat_ord", "start", "end")
+    return scan.scan(sequences(spark, sf_dir), WORDS, plain=True, units=False).select("seq_ord", "pat_ord", "start", "end")
 
 
 HITS_SQL = f"""{base_sql()}, h AS (SELECT seq_ord, i, CAST(row_number() OVER (ORDER BY seq_ord, i) AS BIGINT) AS n FROM p WHERE substr(s, i, 5) = 'TATAA')"""
@@ -329,7 +330,7 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("scan_pieces", SQL["hairpin"])
 def scan_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan_long(sequences(spark, sf_dir), "p1=5...5 3...8 ~p1", size=500).select("seq_ord", "start", "end")
+    return places(scan.scan(sequences(spark, sf_dir), "p1=5...5 3...8 ~p1", piece=500, units=False))
 
 
 @add("sql_table_function", SQL["word_exact"])
@@ -370,5 +371,5 @@ def pattern_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("catalog_scan")
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.scan(sequences(spark, sf_dir), [r[2] for r in catalog.ELEMENTS], plain=True, both_strands=True)
+    found = scan.scan(sequences(spark, sf_dir), [r[2] for r in catalog.ELEMENTS], both_strands=True, units=False)
     return found.groupBy("pat_ord", "strand").agg(F.count("*").alias("n"), F.min("start").alias("least"), F.max("end").alias("most"))

@@ -2,16 +2,20 @@
 
 import gzip
 import random
+import time
 
 import duckdb
+import numpy as np
 import pytest
 
 from seqmotif import queries
 from seqmotif.operators import features, merge
 from seqmotif.operators.kernel import Matcher
-from seqmotif.operators.scan import MissLimit, check_misses, scan, scan_long, strategy
-from seqmotif.pattern import parse
+from seqmotif.operators.scan import MissLimit, check_misses, scan, strategy
+from seqmotif.pattern import PatternError, parse
+from seqmotif.pattern.parser import lengths
 from seqmotif.pattern.units import IUPAC, reverse_complement
+from seqmotif.plans import vector
 from seqmotif.sources import catalog, fasta, matrix
 
 SF = "/root/testdata/sf0.001"
@@ -24,18 +28,106 @@ def seqs(spark):
     return spark.createDataFrame([*rows, (99, "null", None)], "seq_ord long, seq_id string, seq string").cache()
 
 
-@pytest.mark.parametrize("pattern", ["RYRYRY", "TAT[1,0,0]", "p1=3...5 2...6 p1", "p1=4...4 3...8 ~p1", "r1={at,ta,gc,cg,gt,tg} p1=4...4 3...6 r1~p1", "^ 2...9 TA", "A p2=4...4 20...300 ~p2 T", "p1=2...4 CA p2=1...3 length(p1+p2) < 5 p1"])
+@pytest.mark.parametrize("pattern", ["RYRYRY", "TAT[1,0,0]", "p1=3...5 2...6 p1", "p1=4...4 3...8 ~p1", "r1={at,ta,gc,cg,gt,tg} p1=4...4 3...6 r1~p1", "^ 2...9 TA", "A p2=4...4 20...300 ~p2 T", "p1=2...4 CA p2=1...3 length(p1+p2) < 5 p1", "TATCA[1,1,1] 0...3 G", "p1=4...4 20...90 ~p1[1,0,0] A", "A ( CA | G ) 2...4 T"])
 def test_strategies_agree(seqs, pattern):
     assert strategy(parse(pattern), plain=True) != "kernel"
-    fast = scan(seqs, pattern, plain=True, both_strands=True).collect()
-    assert sorted(map(str, fast)) == sorted(map(str, scan(seqs, pattern, engine="kernel", both_strands=True).collect()))
+    found = sorted(map(str, scan(seqs, pattern, engine="kernel", both_strands=True).collect()))
+    assert found == sorted(map(str, scan(seqs, pattern, engine="vector", both_strands=True).collect()))
+    if "[" not in pattern and "p" not in pattern and "(" not in pattern:
+        assert found == sorted(map(str, scan(seqs, pattern, engine="regex", plain=True, both_strands=True).collect()))
+
+
+def letters(texts, pattern):
+    raw = np.frombuffer("".join(texts).encode("latin-1"), np.uint8)
+    return vector.Letters(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), pattern.dna, lengths(pattern.units)[1] + 50)
+
+
+def spelled(data, hits):
+    """(record, start, end, entries) as the matcher gives them."""
+    for start, end, route, gap in zip(*(x.tolist() for x in (hits.start, hits.end, hits.route, hits.gap))):
+        record = int(np.searchsorted(data.bounds, start, side="right")) - 1
+        at, entries = start - int(data.bounds[record]), []
+        first = at
+        for unit, n in hits.routes[route]:
+            entries.append((unit, at, at := at + (gap if n is None else n)))
+        assert at - first == end - start
+        yield record, first, at, tuple(entries)
+
+
+def random_pattern(rng):
+    err = lambda: rng.choice(["", "", "[1,0,0]", "[2,0,0]", "[0,1,0]", "[0,0,1]", "[1,1,1]"])
+    names, units = [], []
+    for k in range(rng.randint(1, 5)):
+        kind, a = rng.random(), rng.randint(0 if k else 1, 6)
+        if kind < 0.3:
+            unit = "".join(rng.choice("ACGTRYN") for _ in range(rng.randint(1, 5))) + err()
+        elif kind < 0.6 or not k:
+            unit = f"{a}...{a + rng.choice([0, 1, 3, 8, 20])}"
+        elif names and kind < 0.9:
+            unit = rng.choice(["p{}", "~p{}", "<p{}", "r1~p{}"]).format(rng.choice(names)) + err()
+        elif names and kind < 0.93:
+            unit = f"length(p{names[0]}) < {rng.randint(1, 5)}"
+        else:
+            unit = rng.choice(["( AC | 1...2 G )", "{(9,-20,30,5),(50,0,50,0),(1,2,3,60)} > 40"])
+        if not unit.startswith(("length", "(")) and rng.random() < 0.5:
+            names.append(len(names) + 1)
+            unit = f"p{names[-1]}={unit}"
+        units.append(unit)
+    return parse("r1={at,ta,gc,cg,gt,tg} " + " ".join(units))
+
+
+def test_arrays_agree_with_the_matcher_on_random_patterns(monkeypatch):
+    rng, tried, hits = random.Random(11), 0, 0
+    while tried < 400:
+        try:
+            pattern = random_pattern(rng)
+        except PatternError:
+            continue
+        monkeypatch.setattr(vector, "WIDE", rng.choice([4, 8, 48]))
+        overlaps, strict = rng.random() < 0.2, rng.random() < 0.4
+        if not vector.supported(pattern) or overlaps and any(map(vector.wide, pattern.flat)):
+            continue
+        tried += 1
+        abc = rng.choice(["ACGT", "ACGTacgtu", "ACGTN", "AC", "ACGTRNX-"])
+        texts = ["".join(rng.choice(abc) for _ in range(rng.choice([0, 1, 5, 30, 60]))) for _ in range(5)]
+        data, matcher = letters(texts, pattern), Matcher(pattern, strict)
+        found = vector.Search(pattern, data, strict, overlaps).hits()
+        found = found if overlaps else found.take(vector.chain(found))
+        expected = [(k, a, b, e) for k, t in enumerate(texts) for a, b, e in matcher.hits(t, overlaps)]
+        assert list(spelled(data, found)) == expected, (pattern.text, texts, strict, overlaps)
+        hits += len(expected)
+    assert hits > 5000
+
+
+@pytest.mark.parametrize("pattern", ["p1=8...8 p2=5...7 50...30000 ~p2 p1", "p2=6...6 50...2000 ~p2[1,0,0] TA", "p1=12...12 100...3000 p1"])
+def test_wide_gaps_on_low_complexity(pattern):
+    rng = random.Random(4)
+    texts = ["A" * 3000 + "T" * 3000, "AT" * 2000, "A" * 900 + "".join(rng.choice("AT") for _ in range(1500)) + "T" * 900, "N" * 500 + "ACGT" * 400]
+    parsed = parse(pattern)
+    data = letters(texts, parsed)
+    began = time.time()
+    found = vector.Search(parsed, data).hits()
+    assert time.time() - began < 20 and len(found.start)
+    for record, _, _, entries in list(spelled(data, found))[::97]:
+        piece = {u: texts[record][a:b] for u, a, b in entries}
+        for u in (x for x in parsed.flat if x.ref is not None):
+            other = next(x for x in parsed.flat if x.name == u.ref).index
+            if "N" not in piece[other]:
+                want = reverse_complement(piece[other]) if u.kind == "complement" else piece[other]
+                assert sum(x != y for x, y in zip(piece[u.index], want)) <= u.err[0] and len(piece[u.index]) == len(want)
 
 
 @pytest.mark.parametrize("size", [7, 50, 1000])
-def test_pieces_do_not_change_hits(seqs, size):
-    pattern = "p1=4...4 3...8 ~p1"
-    whole = scan(seqs, pattern, engine="kernel").select("seq_ord", "start", "end").collect()
-    assert sorted(map(tuple, whole)) == sorted((r.seq_ord, r.start, r.end) for r in scan_long(seqs, pattern, size).collect())
+@pytest.mark.parametrize("pattern", ["p1=4...4 3...8 ~p1", "RYRR", "p1=3...3 20...90 p1[1,0,0]", "4...6"])
+def test_pieces_do_not_change_hits(seqs, size, pattern):
+    whole = sorted(map(str, scan(seqs, pattern, engine="kernel", both_strands=True).collect()))
+    assert whole == sorted(map(str, scan(seqs, pattern, both_strands=True, piece=size).collect()))
+
+
+def test_partitions_do_not_change_hits(seqs):
+    patterns = ["p1=4...6 2...8 ~p1", "RYRR", "TATC[1,1,1]"]
+    one = sorted(map(str, scan(seqs.coalesce(1), patterns, both_strands=True).collect()))
+    assert all(one == sorted(map(str, scan(seqs.repartition(n), patterns, both_strands=True).collect())) for n in (3, 11))
 
 
 def planted(pattern, rng):
@@ -77,13 +169,6 @@ def test_catalog_scan_has_every_pattern(spark, tmp_path):
     assert got == expected and {patterns.index(p) for p in small} <= {order for order, _ in got}
 
 
-@pytest.mark.parametrize("pattern", ["p1=3...4 p2=5...7 20...300 ~p2 p1", "p1=TWA p2=2...2 20...300 ~p2 p1", "p1=3...3 p3=S p2=3...3 20...300 ~p2 ~p3 p1", "p1=3...3 A p2=5...5 20...300 ~p2[1,0,0] T p1"])
-def test_seeds_agree_with_the_kernel(seqs, pattern):
-    assert strategy(parse(pattern), plain=True) == "seeds"
-    fast = scan(seqs, pattern, plain=True, both_strands=True).collect()
-    assert fast and sorted(map(str, fast)) == sorted(map(str, scan(seqs, pattern, engine="kernel", both_strands=True).collect()))
-
-
 def test_limits_and_ids(spark):
     df = spark.createDataFrame([(0, "x", "AAAAA"), (1, "y", "A"), (2, "z", "CC")], "seq_ord long, seq_id string, seq string")
     assert [(r.seq_id, r.start) for r in scan(df, "A", max_hits=2).collect()] == [("x", 1), ("x", 2)]
