@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqmotif.functions import natural_key
-from seqmotif.session import ship
+from seqmotif.operators.order import ranked
+from seqmotif.session import ship, stored
 
 
 def attribute(attributes: Column | str, key: str) -> Column:
@@ -18,24 +20,41 @@ def attribute(attributes: Column | str, key: str) -> Column:
     return F.when(found != "", found)
 
 
-def roots(features: DataFrame, rounds: int = 12) -> DataFrame:
-    """``features`` with ``top``, the line_ord of the feature at the top of its first parents.
+class MergeError(ValueError):
+    """Annotation lines that don't form elements."""
 
-    Parents are followed by joins that double the distance each time.
+
+def roots(features: DataFrame) -> DataFrame:
+    """``features`` with ``top``, the line_ord of the feature at the top of its parents.
+
+    Parents are followed by joins that double the distance each time. Raises MergeError if features are their own
+    ancestors, and when it is read if a parent is missing, parents belong to several elements, or
+    features of one ID have several parents.
     """
-    rows = features.withColumns({"id": attribute("attributes", "ID"), "parent": F.split(attribute("attributes", "Parent"), ",")[0]})
-    ids = rows.where("id IS NOT NULL").groupBy("file_ord", "id").agg(F.min("line_ord").alias("up"))
-    links = rows.join(ids.withColumnRenamed("id", "parent"), ["file_ord", "parent"], "left")
+    spark = features.sparkSession
+    rows = features.withColumns({"id": attribute("attributes", "ID"), "parents": F.split(attribute("attributes", "Parent"), ",")})
+    same = rows.where("id IS NOT NULL").groupBy("file_ord", "id").agg(F.min("line_ord").alias("up"), F.count_distinct(F.coalesce(F.array_join("parents", ","), F.lit(""))).alias("_ways"))
+    clash = F.raise_error(F.concat(F.lit("one ID under several parents: "), "id"))
+    ids = same.select("file_ord", F.col("id").alias("parent"), F.when(F.col("_ways") > 1, clash).otherwise(F.col("up")).alias("up"))
+    links = rows.select("file_ord", "line_ord", F.posexplode_outer("parents").alias("nth", "parent")).join(ids, ["file_ord", "parent"], "left")
     missing = F.col("parent").isNotNull() & F.col("up").isNull()
-    links = links.withColumn("top", F.when(missing, F.raise_error(F.concat(F.lit("parent not found: "), "parent"))).otherwise(F.coalesce("up", "line_ord")))
-    tops = links.select("file_ord", "line_ord", "top")
-    for _ in range(rounds):
-        far = tops.select("file_ord", F.col("line_ord").alias("top"), F.col("top").alias("_far"))
-        again = tops.join(far, ["file_ord", "top"], "left").select("file_ord", "line_ord", F.coalesce("_far", "top").alias("top"), (F.col("_far") != F.col("top")).alias("_moved"))
-        if not again.where("_moved").limit(1).count():
+    links = links.withColumn("up", F.when(missing, F.raise_error(F.concat(F.lit("parent not found: "), "parent"))).otherwise(F.coalesce("up", "line_ord")))
+    links = stored(links.select("file_ord", "line_ord", F.coalesce("nth", F.lit(0)).alias("nth"), F.col("parent").isNotNull().alias("below"), "up"), spark)
+    below = links.where("nth = 0").select("file_ord", F.col("line_ord").alias("top"), F.col("below").alias("_below"))
+    tops = stored(links.where("nth = 0").select("file_ord", "line_ord", F.col("up").alias("top")), spark)
+    for _ in range(tops.count().bit_length() + 1):
+        under = tops.join(below, ["file_ord", "top"]).where("_below")
+        if not under.limit(1).count():
             break
-        tops = again.drop("_moved")
-    return features.join(tops, ["file_ord", "line_ord"])
+        far = tops.select("file_ord", F.col("line_ord").alias("top"), F.col("top").alias("_far"))
+        tops = stored(tops.join(far, ["file_ord", "top"]).select("file_ord", "line_ord", F.col("_far").alias("top")), spark)
+    else:
+        raise MergeError("a Parent loop")
+    each = links.join(tops.select("file_ord", F.col("line_ord").alias("up"), "top"), ["file_ord", "up"])
+    several = F.raise_error(F.concat(F.lit("parents in several elements: line "), F.col("line_ord").cast("string")))
+    found = each.groupBy("file_ord", "line_ord").agg(F.min("top").alias("top"), F.max("top").alias("_most"))
+    found = found.select("file_ord", "line_ord", F.when(F.col("top") != F.col("_most"), several).otherwise(F.col("top")).alias("top"))
+    return features.join(found, ["file_ord", "line_ord"])
 
 
 def elements(features: DataFrame) -> DataFrame:
@@ -59,7 +78,7 @@ def overlapping(a: tuple[int, int], b: tuple[int, int], share: float) -> bool:
 
 
 def keep_overlap(rows: DataFrame, share: float) -> DataFrame:
-    """Keepers under reciprocal overlap: an element goes if it overlaps one already kept; the earliest such is its keeper.
+    """Keepers under reciprocal overlap: an element goes if it overlaps one already kept; of several the earliest is its keeper.
 
     Only elements that overlap by chains of spans decide over each other. Such
     clusters are found by windows and each is decided in priority order.
@@ -71,15 +90,19 @@ def keep_overlap(rows: DataFrame, share: float) -> DataFrame:
     spans = rows.select("file_ord", "elem_ord", "seqid", "start", "end").withColumn("cluster", cluster)
 
     def decide(group: pa.Table) -> pa.Table:
-        kept: list[tuple[int, int, int, int]] = []
+        starts: list[int] = []  # of the kept spans, in order, with what is known of them
+        kept: list[tuple[int, int, int, int, int]] = []
         out = []
-        for r in sorted(group.to_pylist(), key=lambda r: (r["file_ord"], r["elem_ord"])):
-            near = [k for k in kept if overlapping((k[0], k[1]), (r["start"], r["end"]), share)]
-            if near:
-                out.append((r["file_ord"], r["elem_ord"], near[0][2], near[0][3]))
-            else:
-                kept.append((r["start"], r["end"], r["file_ord"], r["elem_ord"]))
-                out.append((r["file_ord"], r["elem_ord"], r["file_ord"], r["elem_ord"]))
+        for number, r in enumerate(sorted(group.to_pylist(), key=lambda r: (r["file_ord"], r["elem_ord"]))):
+            a, b = r["start"], r["end"]
+            reach = (b - a + 1) * (1 / share - 1) + 1 if share > 0 else float("inf")  # spans that overlap so far begin this near
+            some = kept[bisect_left(starts, a - reach) : bisect_right(starts, a + reach)]
+            near = min((k[2:] for k in some if overlapping(k[:2], (a, b), share)), default=None)
+            if near is None:
+                k = bisect_right(starts, a)
+                starts.insert(k, a)
+                kept.insert(k, (a, b, number, r["file_ord"], r["elem_ord"]))
+            out.append((r["file_ord"], r["elem_ord"], *(near[1:] if near else (r["file_ord"], r["elem_ord"]))))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["file_ord", "elem_ord", "keeper_file", "keeper_elem"])
 
     kept = spans.groupBy("seqid", "cluster").applyInArrow(decide, "file_ord int, elem_ord long, keeper_file int, keeper_elem long")
@@ -103,8 +126,8 @@ def merge(rows: DataFrame, share: float | None = None, prefix: str | None = None
     stem = F.lit(prefix) if prefix else F.regexp_replace("name", r"\d+$", "")
     out = out.withColumns({"_stem": F.when(stem == "", F.lit(default)).otherwise(stem), "_key": natural_key(F.col("seqid"))})
     order = ["_key", "start", F.desc("end"), "file_ord", "elem_ord"]
-    number = F.row_number().over(Window.partitionBy("_stem").orderBy(*order)) + (first - 1)
-    out = out.withColumns({"new_name": F.concat("_stem", number.cast("string")), "out_ord": F.row_number().over(Window.orderBy(*order)).cast("long")})
+    out = ranked(out, order, {"out_ord": [], "_number": ["_stem"]})
+    out = out.withColumns({"new_name": F.concat("_stem", (F.col("_number") + (first - 1)).cast("string")), "out_ord": F.col("out_ord").cast("long")})
     return out.select("out_ord", "seqid", "start", "end", F.col("name").alias("old_name"), "new_name", F.coalesce("merged", F.lit("")).alias("merged"), F.coalesce("n_merged", F.lit(0)).alias("n_merged"), *[c for c in ("lines",) if c in rows.columns])
 
 

@@ -8,12 +8,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmotif.functions import revcomp
 from seqmotif.operators.chain import chain
 from seqmotif.operators.kernel import Matcher
+from seqmotif.operators.order import ranked
 from seqmotif.pattern.parser import Pattern, lengths, parse
 from seqmotif.plans import vector
 from seqmotif.plans.regex import NotRegular, hits, to_regex
@@ -88,7 +89,7 @@ def _native(rows: DataFrame, pattern: Pattern, order: int, found: F.Column, unit
 
 
 #: Letters that are searched in one go.
-PORTION = 1_000_000
+PORTION = 100_000
 NAMES = [f.split()[0] for f in HITS.replace(UNITS, "units").split(", ")]
 KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(_STRUCT))
 #: What the matchers read: whole records, or pieces of long ones. ``first`` letters of the strand stand before a piece and its hits begin within ``limit`` letters.
@@ -343,4 +344,4 @@ def check_misses(seqs: DataFrame, found: DataFrame, n: int) -> None:
 
 def running_hits(found: DataFrame) -> DataFrame:
     """Hits with ``nth``, the number of hits up to each in the order of the run."""
-    return found.withColumn("nth", F.row_number().over(Window.orderBy(*hit_order())))
+    return ranked(found, hit_order(), {"nth": []})

@@ -34,7 +34,7 @@ WIDE, ROUTES = 48, 5000
 #: Letters of a key: two bits each in a 64-bit number.
 KEY = 31
 #: Slots of the table that tells which keys occur on the other side.
-SLOTS = 1 << 22
+SLOTS = 1 << 20
 
 _COMPLEMENT = np.arange(256, dtype=np.uint8)
 for _a, _b in COMPLEMENT.items():

@@ -1,6 +1,7 @@
 """Scans as plans: strategies agree, pieces agree, limits, strands, formats, merging, sources."""
 
 import gzip
+import json
 import random
 import time
 
@@ -213,6 +214,58 @@ def test_merge(spark, tmp_path):
     assert len(merge.merge_files(spark, paths).collect()) == 3
 
 
+def gff(*pairs):
+    return "".join(f"c1\tx\tt\t{k + 1}\t{k + 50}\t.\t+\t.\t{p}\n" for k, p in enumerate(pairs))
+
+
+def test_element_roots(spark, tmp_path):
+    for name, text in {"deep": gff("ID=a", *(f"ID=x{k};Parent={'a' if not k else f'x{k - 1}'}" for k in range(9))), "two": gff("ID=a;Parent=b", "ID=b;Parent=a"), "three": gff("ID=a;Parent=b", "ID=b;Parent=c", "ID=c;Parent=a", "ID=d"), "self": gff("ID=a;Parent=a"), "gone": gff("ID=a;Parent=z"), "cross": gff("ID=a", "ID=b", "ID=c;Parent=a,b"), "twice": gff("ID=a", "ID=b", "ID=c;Parent=a", "ID=c;Parent=b")}.items():
+        (tmp_path / f"{name}.gff3").write_text(text)
+    read = lambda name: fasta.read_gff3(spark, str(tmp_path / f"{name}.gff3"))
+    (deep,) = merge.elements(read("deep")).collect()
+    assert len(deep.lines) == 10 and deep.name == "a"
+    for name in ("two", "three", "self"):
+        with pytest.raises(merge.MergeError):
+            merge.roots(read(name))
+    for name in ("gone", "cross", "twice"):
+        with pytest.raises(Exception, match="parent|parents"):
+            merge.roots(read(name)).collect()
+
+
+def test_merge_overlap_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(f, k, rng.choice(["c1", "c2"]), a := rng.randint(1, 300), a + rng.randint(5, 60), f"n{f}{k}") for f in (0, 1) for k in range(150)]
+    kept, gone = [], {}
+    for r in sorted(rows):
+        near = [k for k in kept if k[2] == r[2] and merge.overlapping(k[3:5], r[3:5], 0.6)]
+        gone.setdefault(near[0][5], []).append(f"{r[0]}:{r[5]}") if near else kept.append(r)
+    got = merge.merge(spark.createDataFrame(rows, "file_ord int, elem_ord long, seqid string, start long, end long, name string"), share=0.6).collect()
+    assert {r.old_name: r.merged for r in got} == {k[5]: ",".join(gone.get(k[5], [])) for k in kept}
+    assert sorted(r.out_ord for r in got) == list(range(1, len(kept) + 1))
+
+
+def test_escapes(spark):
+    df = spark.createDataFrame([("a\tb%;=&,é", 1), ("plain", 2)], "t string, k int")
+    got = [tuple(r) for r in df.orderBy("k").select(features.escaped(df.t, features.ATTRIBUTE), features.escaped(df.t, features.SEQID), features.unescaped(features.escaped(df.t, features.ATTRIBUTE)), features.unescaped(df.t)).collect()]
+    assert got == [("a%09b%25%3B%3D%26%2Cé", "a%09b%25%3B%3D%26%2C%C3%A9", "a\tb%;=&,é", "a\tb%;=&,é"), ("plain",) * 4]
+
+
+def test_outputs(spark, tmp_path):
+    df = spark.createDataFrame([(0, "chr 1é", RECORD), (1, "b", "ACGT")], "seq_ord long, seq_id string, seq string")
+    pattern = parse(ELEMENT)
+    hits = features.named(scan(df, pattern, both_strands=True), ["D"])
+    features.write_hits(hits, [pattern], str(tmp_path / "g"), "gff3")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "g")).collect()]
+    assert lines[:2] == ["##gff-version 3", "##sequence-region chr%201%C3%A9 1 95"] and lines[2].startswith("chr%201%C3%A9\tseqmotif\trepeat_region\t21\t80") and len(lines) == 16
+    assert [x.split("\t")[6] for x in lines[9:15]] == ["-"] * 6 and "TSD=GAT_GAT;TIR=CACTAACGTTGC_GCAACGTTAGTG" in lines[11]
+    rows = [r.text for r in features.rendered(hits, [pattern], "jsonl").collect()]
+    assert all(r.isascii() for r in rows) and [json.loads(r)["seq"] for r in rows] == ["chr 1é"] * 2
+    units = json.loads(rows[0])["units"]
+    assert [u["text"] for u in units] == [RECORD[u["start"] - 1 : u["end"]] for u in units] and [u.get("label") for u in units][3] is None
+    with pytest.raises(ValueError):
+        features.write_hits(scan(df, pattern), [pattern], str(tmp_path / "h"), "bed6")
+
+
 def test_fasta(spark, tmp_path):
     data = b"junk\n>a first\nAC GT\r\nNN>b\nTT\n> \n c\nGG"
     assert list(fasta.parse_fasta(data)) == [("a", "ACGTNN"), ("b", "TT"), ("c", "GG")]
