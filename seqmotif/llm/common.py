@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +54,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def portions(texts: list[str], letters: int = 1_000_000) -> Iterator[list[str]]:
-    """Runs of whole texts of about so many letters each; a longer text is a run by itself."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= letters:
+def portions(rows: list, letters: int = 1_000_000, size: Callable = len) -> Iterator[list]:
+    """Runs of whole texts (or rows of some size) of about so many letters each; a longer one is a run by itself."""
+    run, total = [], 0
+    for row in rows:
+        run.append(row)
+        total += size(row)
+        if total >= letters:
             yield run
-            run, size = [], 0
+            run, total = [], 0
     if run:
         yield run
 

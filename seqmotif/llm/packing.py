@@ -40,10 +40,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqmotif.llm.common import texts
+from seqmotif.llm.common import portions, texts
 from seqmotif.session import ship, stored
 
 CAPACITY = 2048
@@ -52,8 +53,8 @@ SHARD = 50_000
 SHARES = (1.0, 0.99, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1)
 #: Rows of the linear program, how steeply prices fall, and steps with known configurations between two runs of the dynamic program.
 ROWS, STEEP, INNER = 96, 0.15, 400
-#: Units a worker remembers, some 200 bytes each.
-UNITS = 700_000
+#: Words a worker remembers, some 200 bytes each, and texts whose pieces it does.
+WORDS, TEXTS = 700_000, 50_000
 #: Signs that end a word of letters; an apostrophe may belong to it.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space before white space.
@@ -61,10 +62,10 @@ BEFORE = re.compile(r" \s")
 
 
 class Tokens:
-    """Little-endian 32-bit ids of texts, as `tokenizers` gives them; ids of units (a space and what follows it) are remembered.
+    """Little-endian 32-bit ids of texts, as `tokenizers` gives them; ids of words with the space before them are remembered.
 
     The tokenizer splits text before every space that is not between white
-    space, so that units are encoded alike wherever they stand. A text that holds
+    space, so that a space and what follows it are encoded alike wherever they stand. A text that holds
     one of the tokenizer's added tokens is encoded in one go, unless ``plainly``,
     which reads these as any other text.
     """
@@ -80,6 +81,7 @@ class Tokens:
         self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))  # a letter of a byte-level vocabulary is a byte
         self.whole = ["\x00"] + ([] if plainly else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def unsafe(self, text: str) -> bool:
         """Must the text be encoded in one go? For cutting before a space changes how text is split only between white space."""
@@ -89,22 +91,24 @@ class Tokens:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def learn(self, new: set[str]) -> None:
-        """Remember the ids of new units.
+        """Remember the ids of new words with a space before them.
 
-        Those of a space and a word are encoded in one go and told apart by their bytes. Signs behind a word of letters
-        are split from it by the tokenizer too, so both are encoded by themselves.
+        Words are encoded in one go and told apart by their bytes. Signs behind a word of letters are split from it by the
+        tokenizer too, so both are encoded by themselves.
         """
-        known = self.known
-        parted = [(u, head, u[len(head) :]) for u in new if (head := u.rstrip(SIGNS)) != u and head[:1] == " " and head[1:].isalpha()]
-        wanted = {x for _, *both in parted for x in both if x not in known}
-        wanted.update(new.difference([u for u, *_ in parted]))
-        joint = [u for u in wanted if u[:1] == " " and len(u) > 1 and not u[1].isspace()]
+        known, signs = self.known, self.signs
+        parted = [(w, head, w[len(head) :]) for w in new if (head := w.rstrip(SIGNS)) != w and head.isalpha()]
+        if fresh := [*{end for _, _, end in parted}.difference(signs)]:
+            signs.update(zip(fresh, self.raw(fresh)))
+        wanted = new.difference([w for w, _, _ in parted])
+        wanted.update(head for _, head, _ in parted if head not in known)
+        joint = [w for w in wanted if w and not w[0].isspace()]
         alone = wanted.difference(joint)
         if joint:
-            text = "".join(joint)
+            text = " " + " ".join(joint)
             whole = self.raw([text])[0]
             at = np.cumsum(self.sizes[np.frombuffer(whole, "<u4")])
-            ends = np.cumsum(list(map(len, joint if text.isascii() else map(str.encode, joint))))
+            ends = np.cumsum(np.fromiter(map(len, joint if text.isascii() else map(str.encode, joint)), np.int64, len(joint)) + 1)
             last = np.minimum(np.searchsorted(at, ends), len(at) - 1)
             if (at[last] == ends).all():
                 stops = (4 * (last + 1)).tolist()
@@ -112,16 +116,19 @@ class Tokens:
             else:
                 alone.update(joint)
         some = list(alone)
-        known.update(zip(some, self.raw(some)))
-        known.update([(u, known[head] + known[signs]) for u, head, signs in parted])
+        known.update(zip(some, self.raw([" " + w for w in some])))
+        known.update([(w, known[head] + signs[end]) for w, head, end in parted])
 
     def encode(self, some: list[str]) -> list[bytes]:
-        cut = [None if self.unsafe(t) else t.replace(" ", "\x00 ").split("\x00") for t in some]
-        if len(self.known) > UNITS:
+        cut = [None if self.unsafe(t) else t.split(" ") for t in some]
+        if len(self.known) > WORDS:
             self.known.clear()
-        self.learn(set().union(*filter(None, cut)).difference(self.known))
+        self.signs = {} if len(self.signs) > WORDS else self.signs
+        firsts = dict(zip(alone := [*{words[0] for words in cut if words}], self.raw(alone)))
+        rest = [words[1:] if words else [] for words in cut]
+        self.learn(set().union(*rest).difference(self.known))
         get = self.known.__getitem__
-        return [self.raw([t])[0] if units is None else b"".join(map(get, units)) for t, units in zip(some, cut)]
+        return [self.raw([t])[0] if words is None else firsts[words[0]] + b"".join(map(get, more)) for t, words, more in zip(some, cut, rest)]
 
 
 _TOKENS: dict[tuple[str, bool], Tokens] = {}
@@ -153,18 +160,23 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(path or tokenizer_path())
+        known: dict[int, list[tuple]] = {}
+
+        def parts(ids: bytes) -> list[tuple]:
+            ids += b"\0\0\0\0"
+            return [(p, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])) for p, (start, length) in enumerate(cut(len(ids) // 4, capacity))]
+
         for batch in batches:
             out: list[tuple] = []
-            doc_ids, all_texts, k, end = batch.column("doc_id").to_pylist(), texts(batch), 0, 0
-            while k < len(all_texts):
-                size, end = 0, k
-                while end < len(all_texts) and (size < 1_000_000 or end == k):
-                    size, end = size + len(all_texts[end]), end + 1
-                for doc_id, ids in zip(doc_ids[k:end], encoder.encode(all_texts[k:end])):
-                    ids += b"\0\0\0\0"
-                    for p, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        out.append((doc_id, p, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                k = end
+            all_texts = texts(batch)
+            keys = list(map(xxhash.xxh3_128_intdigest, all_texts))  # copies are encoded once
+            if len(known) > TEXTS:
+                known.clear()
+            new = {key: t for key, t in zip(keys, all_texts) if key not in known}
+            for run in portions(list(new.items()), size=lambda x: len(x[1])):
+                known.update(zip((key for key, _ in run), map(parts, encoder.encode([t for _, t in run]))))
+            for doc_id, key in zip(batch.column("doc_id").to_pylist(), keys):
+                out += [(doc_id, *part) for part in known[key]]
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
