@@ -40,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,15 +121,44 @@ class Tokens:
         known.update([(w, known[head] + signs[end]) for w, head, end in parted])
 
     def encode(self, some: list[str]) -> list[bytes]:
-        cut = [None if self.unsafe(t) else t.split(" ") for t in some]
+        """The ids of each text. All words of the texts are numbered at once; ids are gathered by these numbers."""
+        whole = [k for k, t in enumerate(some) if self.unsafe(t)]
+        out = dict(zip(whole, self.raw([some[k] for k in whole])))
+        rest = [k for k in range(len(some)) if k not in out]
+        if rest:
+            out.update(zip(rest, self.by_words([some[k] for k in rest])))
+        return [out[k] for k in range(len(some))]
+
+    def by_words(self, some: list[str]) -> Iterator[bytes]:
         if len(self.known) > WORDS:
             self.known.clear()
         self.signs = {} if len(self.signs) > WORDS else self.signs
-        firsts = dict(zip(alone := [*{words[0] for words in cut if words}], self.raw(alone)))
-        rest = [words[1:] if words else [] for words in cut]
-        self.learn(set().union(*rest).difference(self.known))
-        get = self.known.__getitem__
-        return [self.raw([t])[0] if words is None else firsts[words[0]] + b"".join(map(get, more)) for t, words, more in zip(some, cut, rest)]
+        split = pc.split_pattern(pa.array(some, pa.string()), " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        number = coded.indices.to_numpy().copy()
+        inner = np.ones(len(number), bool)
+        inner[bounds[:-1]] = False  # a text's first word has no space before it
+        words = coded.dictionary.to_pylist()
+        used = np.zeros(len(words), bool)
+        used[number[inner]] = True
+        words = [w if u else "" for w, u in zip(words, used.tolist())]
+        known = self.known
+        self.learn({w for w in words if w and w not in known})
+        pieces = [known[w] if w else b"" for w in words] + self.raw([t[: len(t) if (k := t.find(" ")) < 0 else k] for t in some])
+        number[bounds[:-1]] = np.arange(len(words), len(pieces))
+        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        ids = np.frombuffer(b"".join(pieces), "<u4")
+        sizes, starts = sizes[number], starts[number]
+        ends = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=ends[1:])
+        at = np.repeat(starts - ends[:-1], sizes)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = ids.take(at)
+        stops = ends[bounds].tolist()
+        for a, b in zip(stops[:-1], stops[1:]):
+            yield ids[a:b].tobytes()
 
 
 _TOKENS: dict[tuple[str, bool], Tokens] = {}
