@@ -26,6 +26,7 @@ it. Repeated rows are candidates each. No queries: an empty result.
 from __future__ import annotations
 
 import math
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,53 +85,64 @@ def statistics(whole: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-class Search:
-    """The best k of one block of queries over the candidate blocks it is shown."""
+class Block:
+    """A block of candidates with what bounds need of it."""
 
-    def __init__(self, ids: np.ndarray, whole: np.ndarray, k: int, least: np.ndarray | None = None):
-        self.ids, self.whole, self.k = ids, whole, k
+    def __init__(self, ids: np.ndarray, whole: np.ndarray):
+        self.ids, self.whole = ids, whole
         self.float = whole.astype(np.float64)
         self.levels = [statistics(self.float, s) for s in SEGMENTS]
+        self.norm, self.most = float(np.linalg.norm(self.levels[0], axis=1).max(initial=0)), float(np.abs(self.float).max(initial=0))
+
+
+class Search(Block):
+    """The best k of one block of queries over the candidate blocks it is shown."""
+
+    def __init__(self, ids: np.ndarray, whole: np.ndarray, k: int, least: np.ndarray | None = None):
+        super().__init__(ids, whole)
+        self.k = k
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, vec_id), sorted
         self.least = np.full(len(ids), -np.inf) if least is None else least.copy()
 
-    def exact(self, q: np.ndarray, c: np.ndarray, whole: np.ndarray) -> list[int]:
-        """Integer inner products; with Python's integers where a long might overflow."""
-        if float(np.abs(self.float).max(initial=0)) * float(np.abs(whole.astype(np.float64)).max(initial=0)) * max(1, whole.shape[1]) < 2.0**62:
-            return np.einsum("ij,ij->i", self.whole[q], whole[c]).tolist()
-        return [max(-LONG - 1, min(LONG, sum(a * b for a, b in zip(self.whole[i].tolist(), whole[j].tolist())))) for i, j in zip(q.tolist(), c.tolist())]
-
-    def offer(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, whole: np.ndarray) -> None:
-        for i, score, vec_id in zip(q.tolist(), self.exact(q, c, whole), ids[c].tolist()):
+    def offer(self, q: np.ndarray, c: np.ndarray, block: Block) -> None:
+        """Integer inner products of pairs, with Python's integers where a long might overflow; those that reach a query's k-th best so far."""
+        if self.most * block.most * max(1, self.whole.shape[1]) < 2.0**62:
+            exact = np.einsum("ij,ij->i", self.whole[q], block.whole[c])
+            keep = exact >= self.least[q]
+            q, c, scores = q[keep], c[keep], exact[keep].tolist()
+        else:
+            scores = [max(-LONG - 1, min(LONG, sum(a * b for a, b in zip(self.whole[i].tolist(), block.whole[j].tolist())))) for i, j in zip(q.tolist(), c.tolist())]
+        for i, score, vec_id in zip(q.tolist(), scores, block.ids[c].tolist()):
             best = self.best[i]
             if len(best) < self.k or (-score, vec_id) < best[-1]:
-                best.append((-score, vec_id))
-                best.sort()
+                insort(best, (-score, vec_id))
                 del best[self.k :]
                 if len(best) == self.k:
                     self.least[i] = max(self.least[i], -best[-1][0])
 
-    def show(self, ids: np.ndarray, whole: np.ndarray) -> None:
+    def show(self, block: Block) -> None:
         """Bound, prune and score a block of candidates."""
-        levels = [statistics(whole.astype(np.float64), s) for s in SEGMENTS]
-        slack = 1e-9 * np.linalg.norm(self.levels[0], axis=1).max() * np.linalg.norm(levels[0], axis=1).max() + 1e-6
-        bound = self.levels[0] @ levels[0].T + slack
-        bound[self.ids[:, None] == ids[None]] = -np.inf
-        first = min(self.k, len(ids))
+        slack = 1e-9 * self.norm * block.norm + 1e-6
+        bound = self.levels[0] @ block.levels[0].T + slack
+        bound[self.ids[:, None] == block.ids[None]] = -np.inf
+        first = min(self.k, len(block.ids))
         open_ = np.flatnonzero(np.isneginf(self.least))
         if len(open_):  # a first threshold from the candidates with the best bounds
             top = np.argpartition(-bound[open_], first - 1, axis=1)[:, :first]
             q, c = np.repeat(open_, first), top.ravel()
             real = ~np.isneginf(bound[q, c])
-            self.offer(q[real], c[real], ids, whole)
+            self.offer(q[real], c[real], block)
             bound[q, c] = -np.inf
-        q, c = np.nonzero((bound >= self.least[:, None]) & ~np.isneginf(bound))
-        for mine, theirs in zip(self.levels[1:], levels[1:]):
-            keep = np.einsum("ij,ij->i", mine[q], theirs[c]) + slack >= self.least[q]
-            q, c = q[keep], c[keep]
+        near = (bound >= self.least[:, None]) & ~np.isneginf(bound)
+        for mine, theirs in zip(self.levels[1:], block.levels[1:]):
+            if np.count_nonzero(near) * 8 > near.size:  # most pairs are left: bound all
+                near &= mine @ theirs.T + slack >= self.least[:, None]
+            else:
+                q, c = np.nonzero(near)
+                near[q, c] = np.einsum("ij,ij->i", mine[q], theirs[c]) + slack >= self.least[q]
+        q, c = np.nonzero(near)
         for part in range(0, len(q), 65536):
-            a, b = q[part : part + 65536], c[part : part + 65536]
-            self.offer(a, b, ids, whole)
+            self.offer(q[part : part + 65536], c[part : part + 65536], block)
 
     def rows(self) -> list[tuple[int, int, int]]:
         return [(int(i), vec_id, -negative) for i, best in zip(self.ids, self.best) for negative, vec_id in best]
@@ -147,13 +159,14 @@ def thresholds(queries: DataFrame, first: list[dict], k: int) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [(c["dim"], Block(*unpack(c))) for c in shared.value]
         for batch in batches:
             least = []
             for q in batch.to_pylist():
                 search = Search(*unpack(q), k)
-                for c in shared.value:
-                    if c["dim"] == q["dim"]:
-                        search.show(*unpack(c))
+                for dim, block in blocks:
+                    if dim == q["dim"]:
+                        search.show(block)
                 least.append(search.least.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.binary())], [*batch.schema.names, "least"])
 
@@ -170,8 +183,9 @@ def search(candidates: DataFrame, queries: list[dict], k: int) -> DataFrame:
             mine.setdefault(q["dim"], []).append(Search(*unpack(q), k, np.frombuffer(q["least"])))
         for batch in batches:
             for c in batch.to_pylist():
+                block = Block(*unpack(c))
                 for s in mine[c["dim"]]:
-                    s.show(*unpack(c))
+                    s.show(block)
         for some in mine.values():
             for s in some:
                 columns = list(zip(*s.rows())) or [[]] * 3
