@@ -119,6 +119,10 @@ scanned("weight_protein", "{" + ",".join("(" + ",".join(map(str, c)) + ")" for c
 scanned("length_limit", "p1=3...5 CAT p2=2...5 length(p1+p2) < 8 A", first_sql("(SELECT unnest(range(3, 6)) AS n) n, (SELECT unnest(range(2, 6)) AS g) g", f"{at(3, 'n')} = 'CAT' AND n + g < 8 AND {at(1, 'n + 3 + g')} = 'A'", "n + 4 + g", "n, g"))
 scanned("alternative", "TA ( ACA | GG ) T", first_sql("(SELECT unnest(['ACA', 'GG']) AS a, unnest([1, 2]) AS b) b", f"{at('3 + length(a)')} = 'TA' || a || 'T'", "3 + length(a)", "b"))
 scanned("alternative_first", "( TATA | GCG )", None)
+FOLD = """list_reduce(list([{{'start': i, 'end': i + {n} - 1}}] ORDER BY i), lambda a, b: CASE WHEN b[1].start > a[-1]."end" THEN list_concat(a, b) ELSE a END)"""
+SQL["alternative_first"] = f"""WITH {base_sql()}, a AS (SELECT seq_ord, {FOLD.format(n=4)} AS h FROM p WHERE substr(s, i, 4) = 'TATA' GROUP BY seq_ord),
+b AS (SELECT p.seq_ord, {FOLD.format(n=3)} AS h FROM p LEFT JOIN a ON a.seq_ord = p.seq_ord WHERE substr(s, i, 3) = 'GCG' AND i > coalesce(a.h[-1]."end", 0) GROUP BY p.seq_ord)
+SELECT seq_ord, CAST(h.start AS BIGINT) AS start, CAST(h."end" AS BIGINT) AS "end" FROM (SELECT seq_ord, unnest(h) AS h FROM a UNION ALL SELECT seq_ord, unnest(h) FROM b)"""
 scanned("anchor_start", "^ 2...9 TA", f'SELECT seq_ord, 1 AS start, 2 + min(g) AS "end" FROM s, {GAP.format(2, 10)} WHERE substr(s, CAST(1 + g AS BIGINT), 2) = \'TA\' GROUP BY seq_ord')
 scanned("anchor_end", "AC $", fixed_sql(f"{at(2)} = 'AC' AND i + 1 = length(s)", 2))
 scanned("any_set", "any(HQD) E any(ST)", fixed_sql(f"regexp_full_match({at(3)}, '[HQD]E[ST]')", 3), "protein")
