@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -18,17 +19,20 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package.
 
     Workers on this machine get the source folder on their path; a cluster
-    additionally receives the package as an archive, once per application.
+    additionally receives the package as an archive, once per application. The
+    driver serves the archive from where it is, to executors that start late as
+    well, so it stays until the driver ends.
     """
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if not sc.master.startswith("local") and not getattr(sc, "_seqmotif_shipped", False):
-        with tempfile.TemporaryDirectory() as tmp:
-            stage = os.path.join(tmp, "src")
-            shutil.copytree(os.path.join(ROOT, "seqmotif"), os.path.join(stage, "seqmotif"), ignore=shutil.ignore_patterns("__pycache__"))
-            sc.addPyFile(shutil.make_archive(os.path.join(tmp, "seqmotif_src"), "zip", stage))
+        tmp = tempfile.mkdtemp(prefix="seqmotif-")
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        stage = os.path.join(tmp, "src")
+        shutil.copytree(os.path.join(ROOT, "seqmotif"), os.path.join(stage, "seqmotif"), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(tmp, "seqmotif_src"), "zip", stage))
         sc._seqmotif_shipped = True
 
 
