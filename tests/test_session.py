@@ -58,7 +58,7 @@ def cluster(tmp_path_factory):
             process.wait()
 
 
-@pytest.mark.parametrize("name", ["op2_exact_topk", "op6_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op2_exact_topk", "op6_ngram_jaccard_join", "op10_embedding_near_dedup"])
 def test_cluster(spark, cluster, tmp_path, name):
     """A query on a cluster gives the rows of a local session."""
     env = os.environ | {"PYTHONPATH": ROOT, "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
