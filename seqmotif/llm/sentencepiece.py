@@ -6,7 +6,7 @@ worker remembers the ids of units it has met. New units of a batch are
 concatenated and indexed by a suffix array (prefix doubling up to the longest
 piece); every piece of the vocabulary is found by two binary searches, which
 give the range of its occurrences; each occurrence is an edge (position,
-length, piece). The edges, sorted by position, are relaxed: starting from
+length, piece). The edges, in a table by position and length, are relaxed: starting from
 single characters, the best-scored edge that joins two neighbouring symbols is
 applied in every unit at once, the leftmost of equals, until none is left.
 That order of relaxation is what the vocabulary's merge scores mean; a
@@ -77,20 +77,26 @@ class Vocabulary:
 
 
 def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by the next ``depth`` code points or more, by prefix doubling."""
-    rank = np.unique(points, return_inverse=True)[1].astype(np.int64) + 1
-    done = 1
+    """Positions sorted by the next ``depth`` code points or more, by prefix doubling from as many as fit into one number."""
+    letters, rank = np.unique(points, return_inverse=True)
+    rank, base, done = rank.astype(np.int64) + 1, len(letters) + 1, 1
+
+    def doubled(base: int) -> np.ndarray:
+        key = rank * base
+        key[:-done] += rank[done:]
+        return key
+
+    while done < depth and base * base < 1 << 62:
+        rank, base, done = doubled(base), base * base, done * 2
     while True:
-        ahead = np.zeros_like(rank)
-        ahead[:-done] = rank[done:]
-        key = rank * (len(points) + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        if done * 2 >= depth:
+        order = np.argsort(rank)
+        if done >= depth:
             return order
-        fresh = np.ones(len(key), np.int64)
-        fresh[1:] += np.cumsum(key[order][1:] != key[order][:-1])
+        ordered = rank[order]
+        fresh = np.ones(len(rank), np.int64)
+        fresh[1:] += np.cumsum(ordered[1:] != ordered[:-1])
         rank[order] = fresh
-        done *= 2
+        rank, done = doubled(len(points) + 2), done * 2
 
 
 def edges(text: str, words: Vocabulary) -> np.ndarray:
@@ -100,29 +106,35 @@ def edges(text: str, words: Vocabulary) -> np.ndarray:
     padded = np.concatenate([points, np.full(depth, -1)])
     order = suffix_array(points, depth) if n > 1 else np.zeros(n, np.int64)
 
-    def bound(after: bool) -> np.ndarray:
-        low, high = np.zeros(len(words.ids), np.int64), np.full(len(words.ids), n, np.int64)
+    def side(pieces: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Does what stands at each place come before its piece (below 0), begin with it (0) or come after it?"""
+        sign, rows = np.zeros(len(pieces), np.int64), np.arange(len(pieces))
+        for k in range(depth):
+            rows = rows[(sign[rows] == 0) & (k < words.lengths[pieces[rows]])]
+            if not len(rows):
+                break
+            sign[rows] = np.sign(padded[at[rows] + k] - words.points[pieces[rows], k])
+        return sign
+
+    def bound(low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
         while (open_ := np.flatnonzero(low < high)).size:
             middle = (low[open_] + high[open_]) // 2
-            sign = np.zeros(len(open_), np.int64)
-            for k in range(depth):
-                within = (sign == 0) & (k < words.lengths[open_])
-                if not within.any():
-                    break
-                rows = np.flatnonzero(within)
-                sign[rows] = np.sign(padded[order[middle[rows]] + k] - words.points[open_[rows], k])
-            up = (sign < 0) | ((sign == 0) if after else False)
+            up = side(open_, order[middle]) < after
             low[open_[up]] = middle[up] + 1
             high[open_[~up]] = middle[~up]
         return low
 
-    first, last = bound(False), bound(True)
+    first = bound(np.zeros(len(words.ids), np.int64), np.full(len(words.ids), n, np.int64), False)
+    there = np.flatnonzero(first < n)
+    there = there[side(there, order[first[there]]) == 0]
+    last = first.copy()
+    last[there] = n  # only pieces that occur have an end to look for
+    last = bound(first.copy(), last, True)
     found = last - first
     piece = np.repeat(np.arange(len(found)), found)
     at = order[np.repeat(first, found) + np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)]
     out = np.full((n, depth + 1), -1, np.int32)
-    by_position = np.argsort(at, kind="stable")
-    out[at[by_position], words.lengths[piece[by_position]]] = words.ids[piece[by_position]]
+    out[at, words.lengths[piece]] = words.ids[piece]
     return out
 
 
@@ -206,16 +218,25 @@ class Encoder:
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         starts = np.cumsum(sizes + 1) - sizes - 1
         short = np.flatnonzero(sizes <= LONG)
-        unit, start, length = relax(found, starts[short], sizes[short], words)
-        ids: list[list[int]] = [[] for _ in new]
-        got = found[start, length].tolist()
-        for u, s, i in zip(short[unit].tolist(), start.tolist(), got):
-            ids[u] += [i] if i >= 0 else [words.bytes[b] for b in text[s].encode("utf-8", "surrogatepass")]
-        for u in np.flatnonzero(sizes > LONG).tolist():
-            for s, n in relax_long(found, int(starts[u]), int(sizes[u]), words):
-                i = int(found[s, n])
-                ids[u] += [i] if i >= 0 else [words.bytes[b] for b in text[s].encode("utf-8", "surrogatepass")]
-        self.known.update((u, np.array(i, "<u4").tobytes()) for u, i in zip(new, ids))
+        _, start, length = relax(found, starts[short], sizes[short], words)
+        long = [(s, n) for u in np.flatnonzero(sizes > LONG).tolist() for s, n in relax_long(found, int(starts[u]), int(sizes[u]), words)]
+        if long:
+            start, length = (np.concatenate([x, y]) for x, y in zip((start, length), np.array(long, np.int64).T))
+            by = np.argsort(start)
+            start, length = start[by], length[by]
+        ids = found[start, length]
+        of = np.searchsorted(starts, start, side="right") - 1
+        if len(bare := np.flatnonzero(ids < 0)):  # characters without a piece, by their bytes
+            spelled = [[words.bytes[b] for b in text[s].encode("utf-8", "surrogatepass")] for s in start[bare].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[bare] = list(map(len, spelled))
+            rows = np.repeat(np.arange(len(ids)), times)
+            out = ids[rows]
+            out[ids[rows] < 0] = np.concatenate(spelled)
+            ids, of = out, of[rows]
+        flat = ids.astype("<u4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(of, minlength=len(new)))).tolist()
+        self.known.update(zip(new, map(flat.__getitem__, map(slice, [0, *stops], stops))))
 
     def encode(self, some: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
@@ -228,7 +249,7 @@ class Encoder:
                 cut.append(UNIT.findall(SPACE + t.replace(" ", SPACE)))
             else:
                 cut.append((SPACE + t.replace(" ", f"\x00{SPACE}")).split("\x00") if "\x00" not in t else UNIT.findall(SPACE + t.replace(" ", SPACE)))
-        self.learn(sorted(set().union(*cut).difference(self.known)))
+        self.learn([*set().union(*cut).difference(self.known)])
         get = self.known.__getitem__
         return [b"".join(map(get, units)) for units in cut]
 

@@ -485,3 +485,17 @@ def test_pipeline(spark):
     assert ids and not any(labels[k].toxic for k in ids if k in labels)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert {r.doc_id for r in packed.collect()} == ids
+
+
+def test_suffix_array(monkeypatch):
+    """Right for any alphabet; letters that fit into one number are sorted at once, as sorting is most of the cost of new units."""
+    rng, sorts, argsort = np.random.default_rng(5), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or argsort(*a, **b))
+    for n, letters, depth in ((1, 1, 16), (2, 1, 16), (3, 2, 1), (5, 2, 16), (300, 1, 16), (2000, 3, 16), (2000, 100, 16), (2000, 100_000, 16), (500, 2, 33)):
+        points = rng.integers(0, letters, n)
+        order = sentencepiece.suffix_array(points, depth)
+        heads = [tuple(points[k : k + depth]) for k in order.tolist()]
+        assert sorted(order.tolist()) == list(range(n)) and heads == sorted(heads)
+    sorts.clear()
+    sentencepiece.suffix_array(rng.integers(0, 100, 2000), 16)
+    assert len(sorts) <= 2
