@@ -54,7 +54,7 @@ SHARES = (1.0, 0.99, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1)
 #: Rows of the linear program, how steeply prices fall, and steps with known configurations between two runs of the dynamic program.
 ROWS, STEEP, INNER = 96, 0.15, 400
 #: Words a worker remembers, some 200 bytes each, and texts whose pieces it does.
-WORDS, TEXTS = 700_000, 50_000
+WORDS, TEXTS = 1_400_000, 50_000
 #: Signs that end a word of letters; an apostrophe may belong to it.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space before white space.

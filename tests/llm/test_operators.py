@@ -499,3 +499,12 @@ def test_suffix_array(monkeypatch):
     sorts.clear()
     sentencepiece.suffix_array(rng.integers(0, 100, 2000), 16)
     assert len(sorts) <= 2
+
+
+def test_packing_keeps_words():
+    """A worker remembers a million words before it starts afresh, and starts afresh in the end."""
+    coder = packing.Tokens(packing.tokenizer_path())
+    for many, kept in ((1_000_000, True), (packing.WORDS + 1, False)):
+        coder.known.update((f"{k}", b"") for k in range(many))
+        coder.encode(["a word"])
+        assert ("999999" in coder.known) is kept and "word" in coder.known
