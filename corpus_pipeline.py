@@ -35,7 +35,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences."""
-    return packing.query(spark, docs)
+    return packing.query(spark, docs, packing.FEWER)  # workers still hold what the stages before left in memory
 
 
 STAGES: list[tuple[str, Stage]] = [("quality classifier", keep_good), ("toxicity", keep_clean), ("n-gram jaccard join", keep_distinct), ("best-fit packing", pack)]

@@ -53,8 +53,8 @@ SHARD = 50_000
 SHARES = (1.0, 0.99, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1)
 #: Rows of the linear program, how steeply prices fall, and steps with known configurations between two runs of the dynamic program.
 ROWS, STEEP, INNER = 96, 0.15, 400
-#: Words a worker remembers, some 200 bytes each, and texts whose pieces it does.
-WORDS, TEXTS = 1_400_000, 50_000
+#: Words a worker remembers, some 200 bytes each, or fewer where other operators need the memory too, and texts whose pieces it does.
+WORDS, FEWER, TEXTS = 1_400_000, 700_000, 50_000
 #: Signs that end a word of letters; an apostrophe may belong to it.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space before white space.
@@ -80,6 +80,7 @@ class Tokens:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))  # a letter of a byte-level vocabulary is a byte
         self.whole = ["\x00"] + ([] if plainly else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        self.room = WORDS
         self.known: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
 
@@ -121,9 +122,9 @@ class Tokens:
 
     def encode(self, some: list[str]) -> list[bytes]:
         cut = [None if self.unsafe(t) else t.split(" ") for t in some]
-        if len(self.known) > WORDS:
+        if len(self.known) > self.room:
             self.known.clear()
-        self.signs = {} if len(self.signs) > WORDS else self.signs
+        self.signs = {} if len(self.signs) > self.room else self.signs
         firsts = dict(zip(alone := [*{words[0] for words in cut if words}], self.raw(alone)))
         rest = [words[1:] if words else [] for words in cut]
         self.learn(set().union(*rest).difference(self.known))
@@ -154,12 +155,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
+def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None, words: int = WORDS) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every piece of every document; a worker remembers so many ``words``."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(path or tokenizer_path())
+        encoder.room = words
         known: dict[int, list[tuple]] = {}
 
         def parts(ids: bytes) -> list[tuple]:
@@ -409,6 +411,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 250) -> DataF
     return ranked.select(*parts.columns, "_rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
-def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def query(spark: SparkSession, documents: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(pieces(documents), spark)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(stored(pieces(documents, words=words), spark)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
