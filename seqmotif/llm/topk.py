@@ -7,7 +7,10 @@ inner product, |q|^2 + |c|^2 minus twice that sum bounds the squared distance
 from below. For blocks of queries against blocks of candidates the bound is
 taken from coarse to fine; pairs that can't reach a query's k-th best score so
 far are dropped, survivors get their exact integer inner product. A bound that
-equals the k-th best score is no reason to drop, so ties are exact.
+equals the k-th best score is no reason to drop, so ties are exact. Where more
+than an eighth of a block's pairs survive, one matrix product tells which of them
+reach that score; it is exact, as sums are below 2^24 in single or 2^53 in double
+precision. A bound that leaves seven eighths isn't refined first.
 
 Candidate blocks are a stored table and never shuffled. Query blocks are read by
 the driver a group at a time, ``GROUP`` bytes at most whatever the size of the
@@ -92,6 +95,7 @@ class Block:
         self.ids, self.whole = ids, whole
         self.float = whole.astype(np.float64)
         self.levels = [statistics(self.float, s) for s in SEGMENTS]
+        self.single = self.float.astype(np.float32)
         self.norm, self.most = float(np.linalg.norm(self.levels[0], axis=1).max(initial=0)), float(np.abs(self.float).max(initial=0))
 
 
@@ -123,8 +127,9 @@ class Search(Block):
     def show(self, block: Block) -> None:
         """Bound, prune and score a block of candidates."""
         slack = 1e-9 * self.norm * block.norm + 1e-6
-        bound = self.levels[0] @ block.levels[0].T + slack
-        bound[self.ids[:, None] == block.ids[None]] = -np.inf
+        bound = self.levels[0] @ block.levels[0].T
+        if np.isin(block.ids, self.ids).any():
+            bound[self.ids[:, None] == block.ids[None]] = -np.inf
         first = min(self.k, len(block.ids))
         open_ = np.flatnonzero(np.isneginf(self.least))
         if len(open_):  # a first threshold from the candidates with the best bounds
@@ -133,13 +138,23 @@ class Search(Block):
             real = ~np.isneginf(bound[q, c])
             self.offer(q[real], c[real], block)
             bound[q, c] = -np.inf
-        near = (bound >= self.least[:, None]) & ~np.isneginf(bound)
+        floor = (self.least - slack)[:, None]
+        near = bound >= floor
+        if len(open_):
+            near &= bound > -np.inf
         for mine, theirs in zip(self.levels[1:], block.levels[1:]):
-            if np.count_nonzero(near) * 8 > near.size:  # most pairs are left: bound all
-                near &= mine @ theirs.T + slack >= self.least[:, None]
+            left = np.count_nonzero(near) * 8
+            if left > 7 * near.size:  # bounds tell too little here: finer ones cost as much as the product
+                break
+            if left > near.size:  # many pairs are left: bound all
+                near &= mine @ theirs.T >= floor
             else:
                 q, c = np.nonzero(near)
                 near[q, c] = np.einsum("ij,ij->i", mine[q], theirs[c]) + slack >= self.least[q]
+        reach = self.norm * block.norm  # no partial sum of an inner product is larger
+        if reach < 2.0**53 and np.count_nonzero(near) * 8 > near.size:
+            mine, theirs = (self.single, block.single) if reach < 2.0**24 else (self.float, block.float)
+            near &= mine @ theirs.T >= self.least[:, None].astype(mine.dtype)
         q, c = np.nonzero(near)
         for part in range(0, len(q), 65536):
             self.offer(q[part : part + 65536], c[part : part + 65536], block)

@@ -320,6 +320,21 @@ def test_topk_with_repeated_queries(spark, monkeypatch):
     assert sorted(map(tuple, topk.query(spark, df).collect())) == expected
 
 
+def test_topk_gathers_few_pairs(monkeypatch):
+    """Where bounds leave most pairs, one matrix product picks those that are worth a place: gathering them one by one took 0.6 GB of vectors out of reach."""
+    rng = np.random.default_rng(8)
+    whole = np.floor(256 * rng.standard_normal((4096, 64)) / 8).astype(np.int64)
+    whole[3000:3010] = whole[5]
+    shown, offer = [], topk.Search.offer
+    monkeypatch.setattr(topk.Search, "offer", lambda self, q, c, block: (shown.append(len(q)), offer(self, q, c, block))[1])
+    search = topk.Search(np.arange(64), whole[:64], 5)
+    for first in range(0, 4096, 512):
+        search.show(topk.Block(np.arange(first, first + 512), whole[first : first + 512]))
+    scores = whole[:64] @ whole.T
+    expected = [(q, c, int(scores[q, c])) for q in range(64) for c in sorted(set(range(4096)) - {q}, key=lambda c: (-scores[q, c], c))[:5]]
+    assert search.rows() == expected and sum(shown) < 0.2 * 64 * 4096
+
+
 def test_neardup(spark):
     rng = np.random.default_rng(3)
     rows = []
