@@ -7,18 +7,20 @@ list-decoded: all filters whose inner product is within a margin of the
 vector's best one, found part by part with the bound that the best directions
 of the remaining parts give. A vector at cosine 0.98 of another differs from it
 by 0.2 in an independent direction, of which a filter sees about 0.2 / sqrt(d);
-the margin is several times that. Vectors that share a label and a filter are
-verified in double precision.
+the margin is several times that. A bucket holds hundreds of vectors rather than
+a few, as fewer and larger filters mean fewer copies of a vector.
 
-Large buckets are dealt to pairs of blocks, so a task group holds a bounded
-number of vectors; a bucket yields a spanning forest of its links, not all
-pairs. Components of those links are then compared all against all, again in
-pairs of blocks, which counts each vector's links exactly.
+What is copied to the buckets is a vector's code, a byte a component with the
+norm of what it leaves out, which bounds the cosine from above. Large buckets are
+dealt to pairs of blocks, so a task group holds a bounded number of vectors; a
+bucket yields a spanning forest of the pairs whose bound reaches the threshold.
+Components of those are then compared all against all in double precision, again
+in pairs of blocks, which gives the links, a forest of them and each vector's number.
 
 Vectors that are null, zero or hold null or non-finite components, and rows
 with a null label or vec_id, link with nothing; each is its own component.
 Vectors of different lengths don't link. Rows that repeat a vec_id count as one
-vector, the first in the order of label and components.
+vector, the first in the order of label and stored bytes.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from seqmotif.llm.common import block_pairs, components, forest, whole_groups
 from seqmotif.llm.topk import usable
 from seqmotif.session import ship, stored
 
-#: The margin is MARGIN / sqrt(dimension).
-PARTS, MARGIN, BLOCK = 4, 0.36, 1000
+#: The margin is MARGIN / sqrt(dimension); a filter is meant for so many of all vectors.
+PARTS, MARGIN, BLOCK, SHARE = 4, 0.36, 1000, 1024
 
 
 class Code:
@@ -65,24 +68,38 @@ class Code:
         return row, code
 
 
-def unit(batch: pa.RecordBatch | pa.Table, rows: np.ndarray | None = None) -> np.ndarray:
-    """Unit vectors in double precision of stored 64-bit vectors of one dimension."""
-    column = batch.column("vector").to_pylist() if rows is None else batch.column("vector").take(pa.array(rows)).to_pylist()
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def unit(rows: list[bytes], kind: type) -> np.ndarray:
+    """Unit vectors in double precision of stored vectors of one dimension, whose components are of type ``kind``."""
+    x = np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def encode(x: np.ndarray) -> list[bytes]:
+    """Per unit vector a byte a component behind two floats, the step and the norm of the error (rounded up)."""
+    step = (np.abs(x).max(1, keepdims=True) / 127).astype(np.float32)
+    whole = np.rint(x / step).astype(np.int8)
+    error = np.linalg.norm(x - whole * step.astype(np.float64), axis=1, keepdims=True) * (1 + 1e-6) + 1e-6
+    both = np.concatenate([step, error.astype(np.float32)], axis=1).view(np.uint8)
+    return [row.tobytes() for row in np.concatenate([both, whole.view(np.uint8)], axis=1)]
+
+
+def kind_of(embeddings: DataFrame) -> type:
+    """The type that holds components without loss: single precision if the column has it, double otherwise."""
+    return np.float32 if embeddings.schema["embedding"].dataType.elementType == FloatType() else np.float64
 
 
 def prepare(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, vector): usable vectors of labelled rows, normalised in double precision."""
+    """(vec_id, label, dim, vector): usable vectors of labelled rows, components as they are given."""
+    kind = kind_of(embeddings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for vec_id, label, vector in zip(batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), batch.column("embedding")):
                 x = np.asarray(vector.values.to_numpy(zero_copy_only=False), np.float64)
-                top = np.abs(x).max(initial=0)
-                if top > 0:
-                    x = x / top
-                    out.append((vec_id, label, len(x), (x / np.linalg.norm(x)).tobytes()))
+                if np.abs(x).max(initial=0) > 0:
+                    out.append((vec_id, label, len(x), x.astype(kind).tobytes()))
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.binary()))], ["vec_id", "label", "dim", "vector"])
 
@@ -92,8 +109,8 @@ def prepare(embeddings: DataFrame) -> DataFrame:
     return found.groupBy("vec_id").agg(F.min(F.struct("label", "dim", "vector")).alias("v")).select("vec_id", "v.*")
 
 
-def filtered(vectors: DataFrame, size: int) -> DataFrame:
-    """(bucket, vec_id): each vector under every filter it exceeds; label and dimension are part of the bucket's key."""
+def filtered(vectors: DataFrame, size: int, kind: type, coded: bool) -> DataFrame:
+    """(bucket, vec_id, code): each vector under every filter it exceeds; label and dimension are part of the bucket's key. Codes on request."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
@@ -104,54 +121,71 @@ def filtered(vectors: DataFrame, size: int) -> DataFrame:
                 code = codes.setdefault(dim, Code(dim, size))
                 for part in range(0, len(rows), 1000):
                     mine = rows[part : part + 1000]
-                    row, word = code.decode(unit(batch, mine))
+                    x = unit(batch.column("vector").take(pa.array(mine)).to_pylist(), kind)
+                    row, word = code.decode(x)
                     salt = np.array([xxhash.xxh3_64_intdigest(f"{dim} {labels[k]}") for k in mine.tolist()], np.uint64)
                     key = (word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ salt[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[mine[row]])], ["bucket", "vec_id"])
+                    columns = [pa.array(key.view(np.int64)), pa.array(ids[mine[row]])]
+                    if coded:
+                        columns.append(pa.array(encode(x), pa.binary()).take(pa.array(row)))
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "vec_id", "code"][: len(columns)])
 
-    return vectors.mapInArrow(run, "bucket long, vec_id long")
+    return vectors.mapInArrow(run, "bucket long, vec_id long" + ", code binary" * coded)
 
 
 def close(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(a, b): a spanning forest of the links of each group (bucket, ba, bb)."""
+    """(a, b): a spanning forest of the pairs of each group (bucket, ba, bb) whose codes allow a link."""
     for table, starts in whole_groups(batches, ["bucket", "ba", "bb"]):
         ids, sizes = table.column("vec_id").to_numpy(), np.diff(starts)
-        labels = np.unique(table.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
-        vectors = table.column("vector").to_pylist()
+        codes = table.column("code").to_pylist()
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for start, n in zip(starts[:-1].tolist(), sizes.tolist()):
             if n < 2:
                 continue
             of: dict[int, list[int]] = {}
             for k in range(start, start + n):
-                of.setdefault(len(vectors[k]), []).append(k)
+                of.setdefault(len(codes[k]), []).append(k)
             for rows in map(np.array, of.values()):
-                x = np.frombuffer(b"".join(vectors[k] for k in rows.tolist()), np.float64).reshape(len(rows), -1)
-                links = (x @ x.T >= threshold) & (labels[rows][:, None] == labels[rows])
-                a, b = forest(links)
+                raw = np.frombuffer(b"".join(codes[k] for k in rows.tolist()), np.uint8).reshape(len(rows), -1)
+                step, error = np.ascontiguousarray(raw[:, :8]).view(np.float32).T
+                x = raw[:, 8:].view(np.int8).astype(np.float32) * step[:, None]
+                # x.y = x'.y' + (x - x').y' + x.(y - y'), and y' is at most 1 + its error long
+                product = x @ x.T
+                product += (error * (1 + error.max()))[:, None]
+                product += error
+                near = product >= np.float32(threshold - 1e-4)  # single precision
+                a, b = forest(near | near.T)
                 found.append((ids[rows[a]], ids[rows[b]]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def count_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(vec_id, n): links of each vector of a component to the vectors of the other block (or of its own)."""
+def count_links(batches: Iterator[pa.RecordBatch], threshold: float, kind: type) -> Iterator[pa.RecordBatch]:
+    """(a, b, n): exact links in a component's block or between two: a forest of them (a, b, -1), and (a, a, number of links)."""
     for table, starts in whole_groups(batches, ["component", "ba", "bb"]):
         ids, left, ba, bb = (table.column(c).to_numpy() for c in ("vec_id", "left", "ba", "bb"))
+        labels = np.unique(table.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+        vectors = table.column("vector").to_pylist()
         n = np.zeros(len(ids), np.int64)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            x = unit(table.slice(start, end - start))
-            one = ba[start] == bb[start]
-            mine = np.arange(end - start) if one else np.flatnonzero(left[start:end] == ba[start])
-            other = mine if one else np.flatnonzero(left[start:end] != ba[start])
-            links = x[mine] @ x[other].T >= threshold
-            if one:
-                links[np.arange(len(mine)), np.arange(len(mine))] = False
-            n[start + mine] += links.sum(1)
-            if not one:
-                n[start + other] += links.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["vec_id", "n"])
+            of: dict[int, list[int]] = {}
+            for k in range(start, end):
+                of.setdefault(len(vectors[k]), []).append(k)
+            for rows in map(np.array, of.values()):
+                x = unit([vectors[k] for k in rows.tolist()], kind)
+                links = (x @ x.T >= threshold) & (labels[rows][:, None] == labels[rows])
+                links[np.arange(len(rows)), np.arange(len(rows))] = False
+                if ba[start] != bb[start]:  # pairs within a block are counted where the block meets itself
+                    links &= left[rows][:, None] != left[rows]
+                links |= links.T
+                n[rows] = links.sum(1)
+                a, b = forest(links)
+                out.append((ids[rows[a]], ids[rows[b]]))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        columns = [np.concatenate([a, ids]), np.concatenate([b, ids]), np.concatenate([np.full(len(a), -1), n])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n"])
 
 
 def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -159,17 +193,21 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     spark = embeddings.sparkSession
     ship(spark)
     vectors = stored(prepare(embeddings), spark)
-    size = int(min(96, max(8, np.ceil(1.5 * max(1, vectors.count()) ** (1 / PARTS)))))
-    keys = stored(filtered(vectors, size), spark)
-    shared = stored(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), spark)
-    dealt = block_pairs(keys.join(shared, "bucket"), "bucket", "vec_id", BLOCK).drop("left")
-    dealt = dealt.join(vectors.select("vec_id", "label", "vector"), "vec_id").select("bucket", "ba", "bb", "vec_id", "label", "vector")
+    kind = kind_of(embeddings)
+    size = int(min(96, max(2, np.ceil((vectors.count() / SHARE) ** (1 / PARTS)))))
+    counts = filtered(vectors, size, kind, False).groupBy("bucket").agg(F.count("*").alias("n"))
+    large = stored(counts.where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), spark)
+    dealt = filtered(vectors, size, kind, True).join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("left", F.pmod(F.xxhash64("vec_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("left", "other").alias("ba"), F.greatest("left", "other").alias("bb"), "vec_id", "code")
     edges = dealt.repartition("bucket", "ba", "bb").sortWithinPartitions("bucket", "ba", "bb", "vec_id").mapInArrow(lambda b: close(b, threshold), "a long, b long")
-    groups = components(stored(edges.distinct(), spark), spark, stored)
-    members = vectors.join(groups, vectors["vec_id"] == groups["id"]).select("component", "vec_id", "vector")
+    near = components(stored(edges.distinct(), spark), spark, stored)
+    members = vectors.join(near, vectors["vec_id"] == near["id"]).select("component", "vec_id", "label", "vector")
     pairs = block_pairs(members, "component", "vec_id", BLOCK)
-    counts = pairs.repartition("component", "ba", "bb").sortWithinPartitions("component", "ba", "bb").mapInArrow(lambda b: count_links(b, threshold), "vec_id long, n long")
-    links = counts.groupBy("vec_id").agg(F.sum("n").alias("n_links")).withColumnRenamed("vec_id", "id").join(groups, "id")
+    checked = pairs.repartition("component", "ba", "bb").sortWithinPartitions("component", "ba", "bb").mapInArrow(lambda b: count_links(b, threshold, kind), "a long, b long, n long")
+    checked = stored(checked, spark)
+    groups = components(checked.where("n < 0").select("a", "b"), spark, stored)
+    links = checked.where("n >= 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links")).withColumnRenamed("vec_id", "id").join(groups, "id")
     out = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).join(links, F.col("vec_id") == F.col("id"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

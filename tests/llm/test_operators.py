@@ -354,6 +354,37 @@ def test_neardup(spark):
     assert got[504][:2] == (1, 504) and got[505][1] == 504 and got[500] == (0, 500, True) and got[501][0] == 0 and got[503][0] == 0
 
 
+def test_neardup_copies_few_bytes(spark):
+    """What goes to the buckets is a few times the vectors' own size, at any number of them: whole vectors under some thirty filters filled the disk at 0.6 GB."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 64)).astype(np.float32)
+    rows = [(k, "1", 64, v.tobytes()) for k, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label string, dim int, vector binary")
+    for n in (2000, 1_500_000):
+        size = int(np.ceil((n / neardup.SHARE) ** (1 / neardup.PARTS)))
+        sent = neardup.filtered(vectors, size, np.float32, True).selectExpr("sum(16 + length(code)) AS n").first().n
+        assert sent < 6 * x.nbytes
+    unit = neardup.unit([v.tobytes() for v in x], np.float32)
+    raw = np.frombuffer(b"".join(neardup.encode(unit)), np.uint8).reshape(2000, -1)
+    step, error = raw[:, :8].copy().view(np.float32).astype(float).T
+    coded = raw[:, 8:].copy().view(np.int8) * step[:, None]
+    assert (coded @ coded.T + error[:, None] * (1 + error) + error >= unit @ unit.T).all()
+
+
+def test_neardup_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.standard_normal((1, 32)), 90, 0), rng.standard_normal((1, 32)) + rng.standard_normal((120, 32)) * 0.14, rng.standard_normal((60, 32))]).astype(np.float32)
+    rows = [(3 * k - 200, [float(a) for a in v], k % 2) for k, v in enumerate(x)]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    same = np.arange(len(x))[:, None] % 2 == np.arange(len(x)) % 2
+    links = (unit @ unit.T >= 0.98) & same & ~np.eye(len(x), dtype=bool)
+    reach = np.linalg.matrix_power(links + np.eye(len(x)), 64) > 0
+    expected = {r[0]: (int(n), min(3 * int(k) - 200 for k in np.flatnonzero(to))) for r, n, to in zip(rows, links.sum(1), reach)}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.query(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == expected and 0 < links[90:210].sum() < 120 * 59
+
+
 def test_warc(spark):
     big = "<p>" + "é✓x" * 40000 + "WARC/1.1\r\n" * 3 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
     pages = [(1, "http://a/ b\r\nX: y", big), (2, "u", big), (3, "u", None), (4, None, ""), (5, "u", "<p>x"), (5, "u", "<p>x"), (6, "u", "WARC/1.1\r\n")]
