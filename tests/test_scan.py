@@ -314,6 +314,12 @@ def test_multi_pattern_keeps_chained_hits_of_each(spark, tmp_path):
     agrees(spark, "multi_pattern_chain", SF)
 
 
+def test_multi_pattern_has_overlapping_hits(spark, tmp_path):
+    docs = [(1, "TATAA"), (2, "ACGGTACGGTACGGTA"), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(agrees(spark, "multi_pattern", str(tmp_path))) == [(1, 0, 1, 5), (2, 2, 1, 6), (2, 2, 6, 11), (2, 2, 11, 16)]
+
+
 def test_sql_functions_see_whole_sequences(spark, tmp_path):
     docs = [(1, "A" * 30 + "GTC"), (2, "AC"), (3, None), (4, "GCA")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
