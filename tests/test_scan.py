@@ -320,6 +320,12 @@ def test_multi_pattern_has_overlapping_hits(spark, tmp_path):
     assert sorted(agrees(spark, "multi_pattern", str(tmp_path))) == [(1, 0, 1, 5), (2, 2, 1, 6), (2, 2, 6, 11), (2, 2, 11, 16)]
 
 
+def test_multi_pattern_has_all_its_patterns(spark, tmp_path):
+    spark.createDataFrame([(1, "GCAGCAGCTATAA")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(agrees(spark, "multi_pattern", str(tmp_path))) == [(1, 0, 9, 13), (1, 1, 1, 5), (1, 1, 4, 8)]
+    agrees(spark, "multi_pattern", SF)
+
+
 def test_sql_functions_see_whole_sequences(spark, tmp_path):
     docs = [(1, "A" * 30 + "GTC"), (2, "AC"), (3, None), (4, "GCA")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
