@@ -209,7 +209,7 @@ def _matched(rows: DataFrame, patterns: list[tuple[int, Pattern, str]], strict_n
                         if way == "kernel":
                             hits, number = _by_matcher(matcher, pattern, data, every, cut, limits)
                         else:
-                            hits = vector.Search(pattern, data, strict_n, every).hits()
+                            hits = vector.Search(pattern, data, strict_n, every, align).hits()
                             number = np.zeros(len(hits.start), np.int64)
                         record = np.searchsorted(data.bounds, hits.start, side="right") - 1
                         if cut:

@@ -33,6 +33,8 @@ from seqmotif.pattern.units import AMINO, BIT, COMPLEMENT, Unit, base_mask
 WIDE, ROUTES = 48, 5000
 #: Letters of a key: two bits each in a 64-bit number.
 KEY = 31
+#: Alignments that are searched in one go.
+ROWS = 1 << 15
 #: Slots of the table that tells which keys occur on the other side.
 SLOTS = 1 << 20
 
@@ -57,12 +59,15 @@ def choices(units: list[Unit]) -> int:
 
 
 def supported(pattern: Pattern, align: bool = False) -> bool:
-    """Can the pattern be searched this way? Not with a first alternative, empty hits, two wide gaps, or a unit behind a wide gap that has deletions or insertions."""
+    """Can the pattern be searched this way? Not with a first alternative, empty hits, two wide gaps, or a unit behind a wide gap that has deletions or insertions.
+
+    With ``align``, complements may have two insertions at most.
+    """
     first = pattern.units[0]
     gaps = [u for u in pattern.flat if wide(u)]
     if not (first.slides or first.kind == "start") or lengths(pattern.units)[0] == 0 or len(gaps) > 1 or choices(pattern.units) > ROUTES:
         return False
-    if align and any(u.kind == "complement" and not u.exact for u in pattern.flat):
+    if align and any(u.kind == "complement" and (u.err[2] > 2 or u.err[0] > 100) for u in pattern.flat):
         return False
     if gaps:
         if gaps[0] not in pattern.units or gaps[0].name is not None and any(gaps[0].name in (u.ref, *u.refs) for u in pattern.flat):
@@ -137,8 +142,8 @@ class Hits:
 class Search:
     """One pattern over one row of records."""
 
-    def __init__(self, pattern: Pattern, data: Letters, strict_n: bool = False, overlaps: bool = False):
-        self.pattern, self.data, self.strict, self.overlaps = pattern, data, strict_n and pattern.dna, overlaps
+    def __init__(self, pattern: Pattern, data: Letters, strict_n: bool = False, overlaps: bool = False, align: bool = False):
+        self.pattern, self.data, self.strict, self.overlaps, self.align = pattern, data, strict_n and pattern.dna, overlaps, align
         self.done = np.zeros(data.n, bool)
         self.found: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]] = []
         self.routes: list[list[tuple[int, int | None]]] = []
@@ -274,13 +279,16 @@ class Search:
         return places[missed <= budget] if budget else places
 
     def aligned(self, u: Unit, places: np.ndarray, offset: int, names: dict[int, tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
-        """(length, starts) of units with deletions or insertions: every start has the length of its first alignment, or none."""
+        """(length, starts) of units with deletions or insertions: every start has the length of its first alignment, or none.
+
+        With ``align`` a complement has all other lengths behind the first, shorter ones before longer.
+        """
         data, length = self.data, size(u, names)
+        every = self.align and u.kind == "complement"
+        first = 0
         if u.kind == "word":
             room = data.room[places]
             places = places[(room >= offset) & (room >= offset + length - u.err[1])]
-            letters = np.array([data_letter(c, data.dna) for c in u.letters], np.uint8)
-            table = np.broadcast_to(letters, (len(places), length))
         else:
             if not length and u.kind != "complement":
                 yield 0, places
@@ -288,13 +296,19 @@ class Search:
             first, _ = names[u.ref]  # type: ignore[index]
             if u.kind == "complement":
                 places = places[data.odd[places + (first + length)] == data.odd[places + first]]
-            taken = data.codes[places[:, None] + (first + np.arange(length, dtype=np.int32))]
-            table = self.wanted(u, taken if u.kind == "repeat" else taken[:, ::-1])
-        for part in range(0, len(places), 200_000):
-            some = places[part : part + 200_000]
-            used = first_alignments(data, table[part : part + 200_000], some.astype(np.int64) + offset, some + data.room[some], u.err)
+        for part in range(0, len(places), ROWS):
+            some = places[part : part + ROWS]
+            if u.kind == "word":
+                columns = [np.full(len(some), data_letter(c, data.dna), np.uint8) for c in u.letters]
+            else:
+                columns = [self.wanted(u, data.codes[some + (first + (k if u.kind == "repeat" else length - 1 - k))]) for k in range(length)]
+            ends = data.room[some] - offset  # letters from the unit on
+            lanes = Lanes(data, columns, some + offset, ends, u.err)
+            used = lanes.first()
             for consumed in np.unique(used[used >= 0]).tolist():
                 yield consumed, some[used == consumed]
+            for consumed, fits in lanes.lengths() if every else ():
+                yield consumed, self.open(some[fits & (used != consumed)])
 
     def across(self, u: Unit, rest: list[Unit], places: np.ndarray, offset: int, route: list[tuple[int, int | None]], names: dict[int, tuple[int, int]]) -> None:
         """The units behind a wide gap, at the first place in reach where they match."""
@@ -503,8 +517,106 @@ def weights(column: list[int], dna: bool) -> np.ndarray:
     return table
 
 
+def mask(flags: np.ndarray) -> np.ndarray:
+    """255 where true, 0 elsewhere."""
+    return np.negative(flags.view(np.uint8))
+
+
+class Lanes:
+    """Alignments of rows of wanted letters (a column each) with the letters from ``at`` on, of which ``room`` belong to the record.
+
+    All rows take each step of the matcher's search together, a byte per row. What it
+    finds from a state (wanted letter, budgets left, whether other moves are kept
+    for later) depends on the letters ahead alone, so each state is solved once for all rows.
+    """
+
+    def __init__(self, data: Letters, columns: list[np.ndarray], at: np.ndarray, room: np.ndarray, budget: tuple[int, int, int]):
+        self.data, self.columns, self.at, self.room, self.budget, self.n = data, columns, at, room, budget, len(columns)
+        #: May a row come to the end of its record?
+        self.tight = int(room.min(initial=0)) <= self.n + budget[2]
+        self._there: dict[int, np.ndarray] = {}
+        self._letters: dict[int, np.ndarray] = {}
+        self._fits: dict[tuple[int, int], np.ndarray] = {}
+        self._solved: dict[tuple[int, int, int, int, bool], np.ndarray] = {}
+
+    def there(self, q: int) -> np.ndarray:
+        """255 where the record has a letter q."""
+        if q not in self._there:
+            self._there[q] = mask(self.room > q)
+        return self._there[q]
+
+    def fits(self, p: int, q: int) -> np.ndarray:
+        """255 where letter q is there and wanted letter p takes it."""
+        if (p, q) not in self._fits:
+            if q not in self._letters:
+                self._letters[q] = self.data.plain[np.minimum(self.at + q, len(self.data.plain) - 1) if self.tight else self.at + q]
+            fits = mask(self.data.accept(self.columns[p], self._letters[q]))
+            self._fits[p, q] = fits & self.there(q) if self.tight else fits
+        return self._fits[p, q]
+
+    def first(self) -> np.ndarray:
+        """Letters consumed by each row's first alignment, or -1."""
+        m, d, i = self.budget
+        if not self.n or self.n + i > 250 or self.n * (m + 1) * (d + 1) * (i + 1) > 1000:
+            wanted = np.stack(self.columns, 1) if self.n else np.zeros((len(self.at), 0), np.uint8)
+            at = self.at.astype(np.int64)
+            return first_alignments(self.data, wanted, at, at + self.room, self.budget)
+        return self.solved(0, m, d, i, self.tight).astype(np.int64) - 1
+
+    def solved(self, p: int, m: int, d: int, i: int, alone: bool) -> np.ndarray:
+        """One more than the letters consumed by the first alignment from a state, 0 for none; ``alone`` if no other move is kept."""
+        state = (p, m, d, i, alone)
+        if state not in self._solved:
+            q = p - (self.budget[1] - d) + self.budget[2] - i
+            if p == self.n:
+                self._solved[state] = np.full(len(self.at), q + 1, np.uint8)
+                return self._solved[state]
+            steps = [self.solved(p + 1, m - 1, d, i, alone and not d and not i)] if m else []
+            if self.tight and m:
+                steps[0] = steps[0] & self.there(q)
+            if d:
+                step = self.solved(p + 1, m, d - 1, i, alone and not i)
+                steps.append(step & self.there(q) if alone else step)
+            if i:
+                step = self.solved(p, m, d, i - 1, alone)
+                steps.append(step & self.there(q) if self.tight else step)
+            fits = self.fits(p, q)
+            out = self.solved(p + 1, m, d, i, alone) & fits
+            if steps:
+                other = steps[0]
+                for step in steps[1:]:
+                    other = other | (step & mask(other == 0))
+                out |= other & ~fits
+            self._solved[state] = out
+        return self._solved[state]
+
+    def lengths(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Every length that some alignment consumes, ascending, and the rows where one does."""
+        m, d, i = self.budget
+        costs = {(0, 0): np.zeros(len(self.at), np.uint8)}  # (left out, skipped) -> fewest mismatches, m + 1 for too many
+        for k in range(self.n + 1):
+            for a in range(min(k, d) + 1):
+                for b in range(i):
+                    if (a, b) in costs:
+                        step = np.minimum(costs[a, b] | ~self.there(k - a + b), m + 1)
+                        costs[a, b + 1] = np.minimum(step, costs.get((a, b + 1), step))
+            if k == self.n:
+                break
+            after: dict[tuple[int, int], np.ndarray] = {}
+            for (a, b), cost in costs.items():
+                q = k - a + b
+                step = np.minimum(cost + (~self.fits(k, q) & 1), m + 1)
+                step = np.minimum(step | ~self.there(q), m + 1)
+                for to, value in ((a, b), step), ((a + 1, b), cost):
+                    if to[0] <= d:
+                        after[to] = np.minimum(value, after.get(to, value))
+            costs = after
+        for length in sorted({self.n - a + b for a, b in costs}):
+            yield length, np.any([cost <= m for (a, b), cost in costs.items() if self.n - a + b == length], axis=0)
+
+
 def first_alignments(data: Letters, wanted: np.ndarray, at: np.ndarray, end: np.ndarray, budget: tuple[int, int, int]) -> np.ndarray:
-    """Letters consumed by the first alignment of each row of wanted letters, or -1: the matcher's state machine for all rows in step."""
+    """Letters consumed by the first alignment of each row of wanted letters, or -1: the matcher's state machine for all rows in step, for great budgets."""
     rows, n = wanted.shape
     used = np.full(rows, -1, np.int64)
     live = np.arange(rows)

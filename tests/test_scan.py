@@ -100,6 +100,31 @@ def test_arrays_agree_with_the_matcher_on_random_patterns(monkeypatch):
     assert hits > 5000
 
 
+def test_arrays_agree_with_the_matcher_on_all_lengths(monkeypatch):
+    """With ``align`` complements have every length; strategy() left those patterns to the matcher, start by start."""
+    assert strategy(parse("p1=6...6 3...5 ~p1[0,1,1] A"), align=True) == "vector"
+    rng, tried, hits = random.Random(12), 0, 0
+    monkeypatch.setattr(vector, "ROWS", 70)
+    while tried < 250:
+        err = f"[{rng.randint(0, 2)},{rng.randint(0, 2)},{rng.randint(0, 2)}]"
+        size, gap = rng.randint(1, 6), rng.randint(0, 4)
+        text = f"{rng.choice(['', 'A ', 'RY[0,1,0] '])}p1={size}...{size + rng.randint(0, 1)} {gap}...{gap + rng.randint(0, 3)} {rng.choice(['~p1', 'r1~p1'])}{err} {rng.choice(['A', 'p1', '~p1[0,1,1] C', '$', '', '0...2 CA[1,0,1]'])}"
+        pattern = parse("r1={at,ta,gc,cg,gt,tg} " + text)
+        overlaps, strict = rng.random() < 0.4, rng.random() < 0.4
+        if not vector.supported(pattern, True):
+            continue
+        tried += 1
+        abc = rng.choice(["ACGT", "ACGTacgtu", "ACGTN", "AT"])
+        texts = ["".join(rng.choice(abc) for _ in range(rng.choice([0, 1, 5, 30, 60]))) for _ in range(5)]
+        data, matcher = letters(texts, pattern), Matcher(pattern, strict, True)
+        found = vector.Search(pattern, data, strict, overlaps, True).hits()
+        found = found if overlaps else found.take(vector.chain(found))
+        expected = [(k, a, b, e) for k, t in enumerate(texts) for a, b, e in matcher.hits(t, overlaps)]
+        assert list(spelled(data, found)) == expected, (pattern.text, texts, strict, overlaps)
+        hits += len(expected)
+    assert hits > 5000
+
+
 @pytest.mark.parametrize("pattern", ["p1=8...8 p2=5...7 50...30000 ~p2 p1", "p2=6...6 50...2000 ~p2[1,0,0] TA", "p1=12...12 100...3000 p1"])
 def test_wide_gaps_on_low_complexity(pattern):
     rng = random.Random(4)
