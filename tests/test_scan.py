@@ -11,11 +11,11 @@ import pytest
 
 from seqmotif import queries
 from seqmotif.operators import features, merge
-from seqmotif.operators.kernel import Matcher
+from seqmotif.operators.kernel import Matcher, loose
 from seqmotif.operators.scan import MissLimit, check_misses, scan, strategy
 from seqmotif.pattern import PatternError, parse
 from seqmotif.pattern.parser import lengths
-from seqmotif.pattern.units import IUPAC, reverse_complement
+from seqmotif.pattern.units import IUPAC, base_mask, reverse_complement
 from seqmotif.plans import vector
 from seqmotif.sources import catalog, fasta, matrix
 
@@ -125,6 +125,27 @@ def test_arrays_agree_with_the_matcher_on_all_lengths(monkeypatch):
     assert hits > 5000
 
 
+def test_alignments_of_many_rows_are_those_of_one_and_cheap():
+    rng = random.Random(5)
+    for _ in range(300):
+        n, budget = rng.randint(1, 7), tuple(rng.randint(0, 2) for _ in range(3))
+        texts = ["".join(rng.choice("ACN") for _ in range(rng.choice([0, 1, 3, 6, 12]))) for _ in range(30)]
+        words = ["".join(rng.choice("ACM") for _ in range(n)) for _ in texts]
+        data = letters([*texts, "ACGTACGTACGTAC"], parse("p1=6...6 p1"))
+        columns = [np.array([base_mask(w[k]) for w in words], np.uint8) for k in range(n)]
+        lanes = vector.Lanes(data, columns, data.bounds[:-2], np.diff(data.bounds)[:-1], budget)
+        expected = []
+        for word, text in zip(words, texts):
+            ok = lambda p, q: text[q] in IUPAC[word[p]]  # noqa: B023, E731
+            expected.append(loose(ok, n, 0, len(text), budget))
+        assert [None if x < 0 else x for x in lanes.first().tolist()] == expected
+    pattern = parse("p1=6...6 3...5 ~p1[1,1,1]")
+    data = letters(["".join(rng.choice("ACGT") for _ in range(500)) for _ in range(400)], pattern)
+    began = time.process_time()
+    assert len(vector.Search(pattern, data).hits().start)
+    assert time.process_time() - began < 2  # 5 s with a row of five numbers for each state
+
+
 @pytest.mark.parametrize("pattern", ["p1=8...8 p2=5...7 50...30000 ~p2 p1", "p2=6...6 50...2000 ~p2[1,0,0] TA", "p1=12...12 100...3000 p1"])
 def test_wide_gaps_on_low_complexity(pattern):
     rng = random.Random(4)
