@@ -37,6 +37,10 @@ KEY = 31
 ROWS = 1 << 15
 #: Slots of the table that tells which keys occur on the other side.
 SLOTS = 1 << 20
+#: A repeat across a wide gap of so many letters needs a partner in its record for as many of its letters as the second number.
+SHORT = (5, 8)
+#: Odd numbers that spread keys and records over the slots.
+SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 _COMPLEMENT = np.arange(256, dtype=np.uint8)
 for _a, _b in COMPLEMENT.items():
@@ -91,6 +95,8 @@ class Letters:
         sizes = np.diff(bounds)
         self.room = np.repeat(bounds[1:], sizes).astype(np.int32) - np.arange(self.n, dtype=np.int32)
         self._odd: np.ndarray | None = None
+        self._salt: np.ndarray | None = None
+        self._partners: dict[tuple[int, bool], np.ndarray] = {}
         self._runs: dict[tuple[int, bool], np.ndarray] = {}
 
     def reversed(self, pad: int) -> Letters:
@@ -104,6 +110,41 @@ class Letters:
             self._odd = np.concatenate([[0], np.cumsum(self.plain == 0, dtype=np.int32)])
         return self._odd
 
+    @property
+    def fine(self) -> bool:
+        """Are all letters plain?"""
+        return self.odd[self.n] == 0
+
+    @property
+    def salt(self) -> np.ndarray:
+        """At each place and the one behind the last a number of its record."""
+        if self._salt is None:
+            numbers = np.arange(len(self.bounds), dtype=np.uint64) * SPREAD[1]
+            self._salt = np.append(np.repeat(numbers[:-1], np.diff(self.bounds)), numbers[-1:])
+        return self._salt
+
+    def slots(self, keys: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """Numbers below SLOTS of keys in their records."""
+        return ((keys.view(np.uint64) + salt) * SPREAD[0] >> np.uint64(65 - SLOTS.bit_length())).view(np.int64)
+
+    def partners(self, n: int, flip: bool) -> np.ndarray:
+        """Places whose next n letters, if plain, occur elsewhere in the record (reversed and complemented with ``flip``), and a few others."""
+        if (n, flip) not in self._partners:
+            own, other = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+            for at, size_ in parts(n):
+                own = (own << (2 * size_)) + self.runs(size_, False)[at : at + self.n]
+                if flip:
+                    other = (other << (2 * size_)) + self.runs(size_, True)[n - at - size_ : n - at - size_ + self.n]
+            own, often = self.slots(own, self.salt[:-1]), np.zeros(SLOTS, bool)
+            if flip:
+                often[self.slots(other, self.salt[:-1])] = True
+            else:
+                last, places = np.zeros(SLOTS, np.int32), np.arange(self.n, dtype=np.int32)
+                last[own] = places
+                often[own[last[own] != places]] = True
+            self._partners[n, flip] = often[own]
+        return self._partners[n, flip]
+
     def runs(self, n: int, flip: bool) -> np.ndarray:
         """At each place the next n letters as a number, two bits each; reversed and complemented with ``flip``. n is a power of two, 16 at most."""
         if (n, flip) not in self._runs:
@@ -170,7 +211,7 @@ class Search:
             self.done[places] = True
 
     def open(self, places: np.ndarray) -> np.ndarray:
-        return places if self.overlaps else places[~self.done[places]]
+        return places if self.overlaps or not self.found else places[~self.done[places]]
 
     def follow(self, units: list[Unit], places: np.ndarray, offset: int, route: list[tuple[int, int | None]], names: dict[int, tuple[int, int]]) -> None:
         """All ways to match the units behind ``offset`` letters, for the starts ``places``."""
@@ -195,7 +236,7 @@ class Search:
         if u.kind == "range":
             for length in range(u.low, max(u.low, u.high) + 1):
                 places = self.open(places)
-                places = places[self.data.room[places] >= offset + length]
+                places = places[self.data.at(self.data.room, places, 0) >= offset + length]
                 if not len(places):
                     return
                 yield length, places
@@ -203,7 +244,7 @@ class Search:
             yield from self.aligned(u, places, offset, names)
         else:
             length = size(u, names)
-            places = places[self.data.room[places] >= offset + length]
+            places = places[self.data.at(self.data.room, places, 0) >= offset + length]
             yield length, self.fixed(u, places, offset, length, names)
 
     def fixed(self, u: Unit, places: np.ndarray, offset: int, length: int, names: dict[int, tuple[int, int]]) -> np.ndarray:
@@ -330,29 +371,53 @@ class Search:
 
     def nearest(self, places: np.ndarray, offset: int, u: Unit, steps: list[Step], names: dict[int, tuple[int, int]]) -> np.ndarray:
         """For each start the first place behind the gap where the steps match, or the greatest number."""
+        data, total, far = self.data, sum(n for _, _, n in steps), np.iinfo(np.int64).max
+        own = {s.name for s, _, _ in steps if s.name is not None}
+        links = [(s, at, n, names[s.ref][0]) for s, at, n in steps if n and s.ref is not None and s.ref in names and s.ref not in own]  # unit, offset behind the gap, length, offset of the capture
+        out = np.full(len(places), far)
+        open_ = np.ones(len(places), bool)
+        firm = [x for x in links if x[0].exact and x[0].rule is None and x[0].kind in ("repeat", "complement") and x[2] >= SHORT[0]] if data.dna else []
+        for s, _, n, first in firm:
+            open_ &= data.partners(min(n, SHORT[1]), s.kind == "complement")[places + first]
+        open_ &= data.room[places] >= offset + u.low + total
+        if not data.fine:
+            for s, _, n, first in links:
+                if s.kind != "complement":
+                    open_ |= data.odd[places + (first + n)] != data.odd[places + first]
+        chosen = np.flatnonzero(open_)
+        out[chosen] = self.nearest_of(places[chosen], offset, u, steps, names, links, firm)
+        return out
+
+    def behind(self, steps: list[Step], names: dict[int, tuple[int, int]], links: list[tuple[Unit, int, int, int]], firm: list[tuple[Unit, int, int, int]]) -> np.ndarray:
+        """Places behind the gap where all steps but the ``links`` match; ``firm`` links have a partner there."""
         data, total = self.data, sum(n for _, _, n in steps)
         behind = np.arange(data.n, dtype=np.int32) if total else np.arange(data.n + 1, dtype=np.int32)
         if total:
-            behind = behind[data.room >= total]
+            behind = np.flatnonzero(data.room >= total).astype(np.int32)
+        for s, at, n, _ in firm:
+            short = min(n, SHORT[1])
+            behind = behind[data.partners(short, s.kind == "complement")[behind + (at + n - short if s.kind == "complement" else at)]]
+        linked = {id(s) for s, *_ in links}
         own: dict[int, tuple[int, int]] = {}
-        links: list[tuple[Unit, int, int, int]] = []  # unit, offset behind the gap, length, offset of the capture
         for s, at, n in steps:
-            if s.ref is not None and s.ref in names and s.ref not in own:
-                if n:
-                    links.append((s, at, n, names[s.ref][0]))
-            elif s.kind == "limit":
+            if s.kind == "limit":
                 if sum((own.get(r) or names[r])[1] for r in s.refs) >= s.high:
                     behind = behind[:0]
             elif s.kind == "end":
                 ends = np.zeros(data.n + 1, bool)
                 ends[data.bounds[1:]] = True
                 behind = behind[ends[behind + at]]
-            elif s.kind != "range":
+            elif s.kind != "range" and id(s) not in linked and not (s.ref is not None and s.ref in names and s.ref not in own):
                 behind = self.fixed(s, behind, at, n, own)
             if s.name is not None:
                 own[s.name] = (at, n)
-        far = np.iinfo(np.int64).max
-        if not len(behind) or not len(places):
+        return behind
+
+    def nearest_of(self, places: np.ndarray, offset: int, u: Unit, steps: list[Step], names: dict[int, tuple[int, int]], links: list[tuple[Unit, int, int, int]], firm: list[tuple[Unit, int, int, int]]) -> np.ndarray:
+        """The same of starts with partners for the ``firm`` links, or with letters that stand for several."""
+        data, total, far = self.data, sum(n for _, _, n in steps), np.iinfo(np.int64).max
+        behind = self.behind(steps, names, links, firm) if len(places) else places
+        if not len(places) or data.fine and not len(behind):
             return np.full(len(places), far)
         low = places.astype(np.int64) + (offset + u.low)
         high = np.minimum(places.astype(np.int64) + (offset + u.high), places.astype(np.int64) + data.room[places] - total)
@@ -379,12 +444,14 @@ class Search:
             seeds = [[*exact, *every[a:b]] for a, b in zip(cuts[:-1], cuts[1:])]
         out = np.full(len(places), far)
         asked = np.flatnonzero((high >= low) & ~vague)
-        for seed in seeds:
+        for seed in seeds if len(behind) else []:
             residual = len(seed) > KEY or bool(loose)
             reach = np.minimum(high[asked], out[asked] - 1)
             found = self.lookup(places[asked], low[asked], reach, behind, seed[:KEY], links if residual else [])
             out[asked] = np.minimum(out[asked], found)
-        for k in np.flatnonzero(vague & (high >= low)).tolist():
+        unsure = np.flatnonzero(vague & (high >= low)).tolist()
+        behind = self.behind(steps, names, links, []) if unsure and firm else behind
+        for k in unsure:
             some = behind[np.searchsorted(behind, low[k]) : np.searchsorted(behind, high[k], side="right")]
             ok = self.linked(np.full(len(some), places[k]), some, links)
             if ok.any():
@@ -402,12 +469,14 @@ class Search:
             while k + n < len(letters) and letters[k + n] == (offset + (-n if flip else n), flip):
                 n += 1
             first = offset - n + 1 if flip else offset
-            fine &= data.at(data.odd, places, first + n) == data.at(data.odd, places, first)
+            if not data.fine:
+                fine &= data.at(data.odd, places, first + n) == data.at(data.odd, places, first)
             for at, size_ in parts(n):
                 at = n - at - size_ if flip else at
                 number = (number << (2 * size_)) + data.at(data.runs(size_, flip), places, first + at)
             k += n
-        number[~fine] = -1
+        if not data.fine:
+            number[~fine] = -1
         return number
 
     def lookup(self, places: np.ndarray, low: np.ndarray, high: np.ndarray, behind: np.ndarray, seed: list[tuple[int, int, bool]], links: list[tuple[Unit, int, int, int]]) -> np.ndarray:
@@ -416,15 +485,7 @@ class Search:
         row = np.arange(len(places))
         if seed:
             mine, theirs = self.key(places, [(a, False) for a, _, _ in seed]), self.key(behind, [(b, flip) for _, b, flip in seed])
-            for _ in range(2):  # only keys that occur on both sides are sorted
-                table = np.zeros(SLOTS, bool)
-                table[theirs % SLOTS] = True
-                keep = table[mine % SLOTS] & (mine >= 0)
-                row, mine = row[keep], mine[keep]
-                table = np.zeros(SLOTS, bool)
-                table[mine % SLOTS] = True
-                keep = table[theirs % SLOTS] & (theirs >= 0)
-                behind, theirs = behind[keep], theirs[keep]
+            row, mine, behind, theirs = self.met_keys(places, mine, behind, theirs)
             keys, rank = np.unique(theirs, return_inverse=True)
             if not len(keys):
                 return out
@@ -451,6 +512,18 @@ class Search:
             row, first, last = row[going], first[going], last[going]
         return out
 
+    def met_keys(self, places: np.ndarray, mine: np.ndarray, behind: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows of the starts and their keys, places behind the gap and their keys: those whose key is likely to be on the other side in the same record too."""
+        slots = [self.data.slots(keys, self.data.salt[at]) for keys, at in ((mine, places), (theirs, behind))]
+        chosen = [np.arange(len(keys)) if self.data.fine else np.flatnonzero(keys >= 0) for keys in (mine, theirs)]
+        slots = [s[c] for s, c in zip(slots, chosen)]
+        for side in (0, 1, 0, 1):
+            table = np.zeros(SLOTS, bool)
+            table[slots[1 - side]] = True
+            keep = np.flatnonzero(table[slots[side]])
+            slots[side], chosen[side] = slots[side][keep], chosen[side][keep]
+        return chosen[0], mine[chosen[0]], behind[chosen[1]], theirs[chosen[1]]
+
     def linked(self, places: np.ndarray, behind: np.ndarray, links: list[tuple[Unit, int, int, int]]) -> np.ndarray:
         """Which pairs of a start and a place behind the gap agree in all repeats."""
         data, ok = self.data, np.ones(len(places), bool)
